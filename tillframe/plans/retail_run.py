@@ -18,6 +18,7 @@ class RetailRun:
     """Where a run was saved, its results (None for reports whose columns are absent), and its KPI report."""
 
     base: str
+    saved: dict[str, str]
     results: dict[str, DataFrame | None]
     report: DataFrame
 
@@ -51,21 +52,25 @@ def result_path(base: str, name: str, file_format: str) -> str:
     return f"{base}/{file_format}/{name}"
 
 
-def save_bundle(results: dict[str, DataFrame | None], base: str, samples: bool = False) -> dict[str, str]:
-    """Save the cleaned lines as Parquet and CSV and every report as CSV; returns name -> path.
+def save_bundle(
+    results: dict[str, DataFrame | None], base: str, samples: bool = False, lines_parquet: str | None = None
+) -> dict[str, str]:
+    """Save the cleaned lines as Parquet and CSV and every report as CSV; returns name/format -> path.
 
     Reports that are None are skipped. ``samples`` adds the capped CSV exports.
+    ``lines_parquet`` names an existing Parquet copy of the lines, which is
+    then not written again.
     """
     saved = {}
     for name, df in results.items():
         if df is None:
             continue
-        stem = name if name == CLEANED else f"analysis_{name}"
+        stem, cap = f"analysis_{name}", writers.REPORT_SAMPLE_ROWS
         if name == CLEANED:
-            saved[f"{name}/parquet"] = writers.save(df, result_path(base, stem, "parquet"), "parquet")
+            stem, cap = name, writers.LINES_SAMPLE_ROWS
+            saved[f"{name}/parquet"] = lines_parquet or writers.save(df, result_path(base, stem, "parquet"), "parquet")
         saved[f"{name}/csv"] = writers.save(df, result_path(base, stem, "csv"), "csv")
         if samples:
-            cap = writers.LINES_SAMPLE_ROWS if name == CLEANED else writers.REPORT_SAMPLE_ROWS
             saved[f"{name}/sample"] = writers.sample_export(df, result_path(base, stem, "sample"), cap)
     return saved
 
@@ -77,21 +82,18 @@ def run(raw: DataFrame, base: str, analysed_at: str | None = None, samples: bool
     table: one parse of the source, column pruning for each report, and a lost
     executor costs a re-read only.
     """
-    spark = raw.sparkSession
     cleaned = cleaning.cleaned_lines(raw)
     table = writers.save(cleaned, result_path(base, CLEANED, "parquet"), "parquet")
-    lines = spark.read.schema(cleaned.schema).parquet(table)
-
+    lines = writers.load(raw.sparkSession, table, cleaned, "parquet")
     results = report_bundle(lines)
-    writers.save(lines, result_path(base, CLEANED, "csv"), "csv")
-    if samples:
-        writers.sample_export(lines, result_path(base, CLEANED, "sample"), writers.LINES_SAMPLE_ROWS)
-    save_bundle({k: v for k, v in results.items() if k != CLEANED}, base, samples)
+    saved = save_bundle(results, base, samples, lines_parquet=table)
     report = kpi.kpi_report(lines, analysed_at)
     writers.save_report_text(report, f"{base}/analysis_report")
-    return RetailRun(base, results, report)
+    return RetailRun(base, saved, results, report)
 
 
-def run_csv(spark: SparkSession, source: str, base: str, **options) -> RetailRun:
+def run_csv(
+    spark: SparkSession, source: str, base: str, analysed_at: str | None = None, samples: bool = False
+) -> RetailRun:
     """``run`` on the CSV files at ``source``."""
-    return run(read_order_lines(spark, source), base, **options)
+    return run(read_order_lines(spark, source), base, analysed_at, samples)
