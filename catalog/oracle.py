@@ -56,6 +56,19 @@ def steady_round(x: str, digits: int) -> str:
     return f"cast(round(cast({x} as decimal(28, 8)), {digits}) as double)"
 
 
+def exact_sum(x: str) -> str:
+    """Sum in decimals, as the double nearest to it."""
+    return f"cast(cast(sum(cast({x} as decimal(28, 6))) as varchar) as double)"
+
+
+def total(x: str) -> str:
+    return decimal_round(exact_sum(x), 2)
+
+
+def average(x: str, factor: str = "") -> str:
+    return decimal_round(f"{exact_sum(x)} / count({x}){factor}", 2)
+
+
 CLEANED = f"""
 cleaned as (
   select * exclude (order_date, ship_date, discount, shipping_cost), order_date, ship_date,
@@ -71,10 +84,11 @@ cleaned as (
   )
 )"""
 
-TOTAL_SALES = "round(sum(sales), 2) as total_sales"
-TOTAL_PROFIT = "round(sum(profit), 2) as total_profit"
-AVG_SALES = "round(avg(sales), 2) as avg_line_sales"
-MARGIN = "round(sum(profit) / nullif(sum(sales), 0) * 100, 2) as margin_pct"
+MARGIN_PCT = decimal_round(f"{exact_sum('profit')} / nullif({exact_sum('sales')}, 0) * 100", 2)
+TOTAL_SALES = f"{total('sales')} as total_sales"
+TOTAL_PROFIT = f"{total('profit')} as total_profit"
+AVG_SALES = f"{average('sales')} as avg_line_sales"
+MARGIN = f"{MARGIN_PCT} as margin_pct"
 CUSTOMERS = "count(distinct customer_id) as customer_count"
 ORDERS = "count(distinct order_id) as order_count"
 
@@ -151,7 +165,8 @@ def binned(column: str) -> str:
 
     def short(x: str) -> str:
         scale = f"pow(10.0::double, case when abs({x}) >= 1 or {x} = 0 then 3 else 2 - floor(log10(abs({x}))) end)"
-        return f"cast(round_even({x} * {scale}, 0) / {scale} as varchar)"
+        plain = f"cast(cast(cast(round_even({x} * {scale}, 0) / {scale} as varchar) as decimal(38, 12)) as varchar)"
+        return f"regexp_replace(regexp_replace({plain}, '0+$', ''), '[.]$', '.0')"
 
     return over_observations(f"""
 , limits as (select min({column}) as lo, max({column}) as hi from observations)
@@ -215,11 +230,11 @@ def kpi_report() -> str:
     money = "'$' || format('{{:,.2f}}', {x})"
     best = """(select coalesce({k}, 'unknown') || ' (' || {shown} || ')' from
       (select {k}, {score} as s from cleaned group by {k}) order by s desc nulls last, {k} limit 1)"""
-    profit, margin = "round(sum(profit), 2)", "round(sum(profit) / sum(sales) * 100, 2)"
+    profit, margin = total("profit"), MARGIN_PCT
     shown_money, shown_pct = money.format(x="s"), "cast(s as varchar) || '%'"
     lines = [
         ("total_transactions", "(select format('{:,}', count(*)) from cleaned)"),
-        ("total_sales", f"(select {money.format(x='round(sum(sales), 2)')} from cleaned)"),
+        ("total_sales", f"(select {money.format(x=total("sales"))} from cleaned)"),
         ("total_profit", f"(select {money.format(x=profit)} from cleaned)"),
         ("overall_margin", f"(select cast({margin} as varchar) || '%' from cleaned)"),
         ("best_region", best.format(k="region", score=profit, shown=shown_money)),
@@ -227,8 +242,8 @@ def kpi_report() -> str:
         ("best_category", best.format(k="category", score=margin, shown=shown_pct)),
         (
             "avg_customer_value",
-            f"(select {money.format(x='round(avg(v), 2)')} from "
-            "(select round(sum(sales), 2) as v from cleaned group by customer_id))",
+            f"(select {money.format(x=average('v'))} from "
+            f"(select {total('sales')} as v from cleaned group by customer_id))",
         ),
     ]
     return over_cleaned(
@@ -258,7 +273,7 @@ def bundle_counts() -> str:
         "country_analysis/csv": groups("country", 10),
         "product_analysis/csv": groups("category, sub_category"),
         "top_products/csv": groups(product, 10),
-        "top_profitable_products/csv": groups(product, 10, "having round(sum(profit), 2) > 0"),
+        "top_profitable_products/csv": groups(product, 10, f"having {total('profit')} > 0"),
         "yearly_sales/csv": groups("order_year"),
         "monthly_sales/csv": groups("year_month"),
         "quarterly_sales/csv": groups("order_year, order_quarter"),
@@ -367,7 +382,7 @@ def twins() -> dict[str, str]:
                 "count(*) as line_count",
                 AVG_SALES,
                 MARGIN,
-                "round(avg(discount) * 100, 2) as avg_discount_pct",
+                f"{average('discount', ' * 100')} as avg_discount_pct",
             ],
         ),
         "top_products": grouped(
@@ -379,7 +394,7 @@ def twins() -> dict[str, str]:
             product,
             [TOTAL_PROFIT, TOTAL_SALES, MARGIN],
             f"order by total_profit desc nulls last, {key_asc['product']} limit 10",
-            "round(sum(profit), 2) > 0",
+            f"{total('profit')} > 0",
         ),
         "yearly_sales": grouped("order_year", [TOTAL_SALES, TOTAL_PROFIT, CUSTOMERS, ORDERS, MARGIN]),
         "monthly_sales": grouped("year_month", [TOTAL_SALES, TOTAL_PROFIT, ORDERS]),
@@ -392,7 +407,7 @@ def twins() -> dict[str, str]:
         "segment_performance": grouped("segment", [CUSTOMERS, TOTAL_SALES, TOTAL_PROFIT, AVG_SALES, MARGIN]),
         "top_customers": grouped(
             customer,
-            [TOTAL_SALES, ORDERS, AVG_SALES, TOTAL_PROFIT, "round(avg(shipping_days), 2) as avg_shipping_days"],
+            [TOTAL_SALES, ORDERS, AVG_SALES, TOTAL_PROFIT, f"{average('shipping_days')} as avg_shipping_days"],
             top.format(k=key_asc["customer"], n=10),
         ),
         "shipping_mode_performance": grouped(
@@ -401,9 +416,9 @@ def twins() -> dict[str, str]:
                 "count(order_id) as line_count",
                 TOTAL_SALES,
                 AVG_SALES,
-                "round(avg(profit), 2) as avg_profit",
-                "round(avg(shipping_days), 2) as avg_shipping_days",
-                "round(avg(profit_margin), 2) as avg_margin_pct",
+                f"{average('profit')} as avg_profit",
+                f"{average('shipping_days')} as avg_shipping_days",
+                f"{average('profit_margin')} as avg_margin_pct",
             ],
         ),
         "shipping_sales_corr": over_cleaned(
@@ -411,8 +426,8 @@ def twins() -> dict[str, str]:
             as correlation from cleaned"""
         ),
         "shipping_cost_summary": over_cleaned(
-            f"""select round(avg(shipping_cost), 2) as avg_cost, {decimal_round("max(shipping_cost)", 2)} as max_cost,
-            {decimal_round("min(shipping_cost)", 2)} as min_cost, round(sum(shipping_cost), 2) as total_cost
+            f"""select {average("shipping_cost")} as avg_cost, {decimal_round("max(shipping_cost)", 2)} as max_cost,
+            {decimal_round("min(shipping_cost)", 2)} as min_cost, {total("shipping_cost")} as total_cost
             from cleaned"""
         ),
         # headline figures
@@ -420,7 +435,7 @@ def twins() -> dict[str, str]:
             f"""select count(*) as line_count, {ORDERS}, {CUSTOMERS}, count(distinct product_id) as product_count,
             {TOTAL_SALES}, {TOTAL_PROFIT}, {AVG_SALES}, {MARGIN} from cleaned"""
         ),
-        "kpi_shipping_total": over_cleaned("select round(sum(shipping_cost), 2) as total_cost from cleaned"),
+        "kpi_shipping_total": over_cleaned(f"select {total('shipping_cost')} as total_cost from cleaned"),
         "best_region": grouped(
             "region", [TOTAL_PROFIT], "order by total_profit desc nulls last, region nulls first limit 1"
         ),
@@ -431,8 +446,8 @@ def twins() -> dict[str, str]:
             "category", [MARGIN], "order by margin_pct desc nulls last, category nulls first limit 1"
         ),
         "avg_customer_value": over_cleaned(
-            """select round(avg(v), 2) as avg_customer_value from
-            (select round(sum(sales), 2) as v from cleaned group by customer_id)"""
+            f"""select {average("v")} as avg_customer_value from
+            (select {total("sales")} as v from cleaned group by customer_id)"""
         ),
         # features
         "interaction_features": over_observations(f"select obs_key, {INTERACTIONS} from observations"),

@@ -12,7 +12,7 @@ from tillframe.operators import cleaning, exploration, features, kpi, quality, r
 from tillframe.operators.encoding import CATEGORICAL, fit_label_codes, label_encode
 from tillframe.plans import retail_run
 from tillframe.schema import HEADINGS
-from tillframe.session import materialize, work_path
+from tillframe.session import materialize, spread, work_path
 from tillframe.sinks import writers
 from tillframe.sources import csv_lines
 from tillframe.sources.star_schema import observations, order_lines
@@ -24,7 +24,7 @@ FORMULA_INPUTS = (*features.SCALED, "shelf_location", "obs_index")
 PRODUCT_COLUMNS = (*FORMULA_INPUTS, "obs_key", "region", "store_chain", "beverage_type", "competitor_count")
 
 # Settings of the registered training runs, smaller than the library's defaults.
-FOREST = {"trees": 20, "depth": 6, "bins": 64}
+FOREST = {"trees": 20, "depth": 5, "bins": 64}
 BOOSTING = {"stages": 20, "depth": 3, "bins": 64}
 QUERY_FOLDS = 3
 
@@ -233,9 +233,8 @@ def metrics_of_formula(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def training_table(spark: SparkSession, folder: str, folds: int = QUERY_FOLDS) -> regression.ModelTable:
-    rows = materialize(observations(spark, folder), "observations")
-    codes = fit_label_codes(rows)
-    return regression.model_table(features.feature_table(rows, codes), codes, folds=folds)
+    rows = spread(materialize(observations(spark, folder), "observations"), regression.KEY)
+    return regression.model_table(rows, fit_label_codes(rows), folds=folds)
 
 
 def estimators() -> dict:

@@ -1,0 +1,145 @@
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from tillframe.operators import encoding, exploration, features
+
+NAN = float("nan")
+
+
+def binned(spark, values, bins=5):
+    rows = [(None if v is None else float(v), float(i)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "x double, monthly_sales double")
+    return exploration.binned_mean_sales(df, "x", bins).collect()
+
+
+def pandas_means(values, bins=5):
+    frame = pd.DataFrame({"x": [np.nan if v is None else v for v in values], "y": np.arange(float(len(values)))})
+    return frame.groupby(pd.cut(frame.x, bins=bins), observed=False).y.mean()
+
+
+def assert_like_pandas(rows, expected):
+    assert [r.bin_index for r in rows] == list(range(len(expected)))
+    for row, (interval, mean) in zip(rows, expected.items(), strict=True):
+        if math.isnan(mean):
+            assert row.mean_sales is None and row.row_count == 0
+        else:
+            assert row.mean_sales == pytest.approx(mean)
+
+
+def test_bins_on_edges(spark):
+    values = [0, 0.2, 0.21, 0.4, 0.9, 1.0]
+    rows = binned(spark, values)
+    assert [r.row_count for r in rows] == [2, 2, 0, 0, 2]
+    assert [r.mean_sales for r in rows] == [0.5, 2.5, None, None, 4.5]
+    assert [r.bin_label for r in rows] == [str(i) for i in pandas_means(values).index]
+    assert rows[0].bin_label == "(-0.001, 0.2]"
+
+
+@pytest.mark.parametrize("values", [[7, 7, 7], [0, 0], [-3, -3, None], [1500.25, 98000.5, 40000, None, NAN]])
+def test_bins_of_constants_and_gaps(spark, values):
+    clean = [None if v is not None and v != v else v for v in values]
+    expected = pandas_means(clean)
+    rows = binned(spark, values)
+    assert_like_pandas(rows, expected)
+    assert [r.bin_label for r in rows] == [str(i) for i in expected.index]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.floats(-1e4, 1e4, allow_nan=False).map(lambda x: round(x, 3)), min_size=1, max_size=30))
+def test_bins_like_pandas(spark, values):
+    assert_like_pandas(binned(spark, values), pandas_means(values))
+
+
+def test_standardize_uses_population_deviation(spark):
+    df = spark.createDataFrame([(5.0, 1.0), (5.0, 2.0), (5.0, 4.0)], "a double, b double")
+    params = features.scaler_params(df, ("a", "b"))
+    assert params.first().b_std == pytest.approx(1.24722, abs=1e-5)
+    rows = features.standardize(df, params, ("a", "b")).collect()
+    assert [r.a for r in rows] == [0.0, 0.0, 0.0]
+    assert [r.b for r in rows] == pytest.approx([-1.069, -0.267, 1.336], abs=1e-3)
+
+
+def test_standardize_other_rows_with_fitted_parameters(spark):
+    fitted = features.scaler_params(spark.createDataFrame([(1.0,), (3.0,)], "a double"), ("a",))
+    new = spark.createDataFrame([(5.0,)], "a double")
+    row = features.standardize(new, fitted, ("a",), prefix="scaled_").first()
+    assert (row.a, row.scaled_a) == (5.0, 3.0)
+
+
+LABELS = "region string, shelf_location string"
+
+
+@pytest.mark.parametrize("small_limit", [encoding.SMALL_LABEL_COUNT, 0])
+def test_codes_are_sorted_and_missing_comes_last(spark, small_limit):
+    """With a limit of 0 the ranks come from the distributed sort and the codes from shuffle joins."""
+    df = spark.createDataFrame([("b", "x"), ("a", "y"), (None, "x"), ("c", "y"), ("a", "x")], LABELS)
+    codes = encoding.fit_label_codes(df, ("region", "shelf_location"), small_limit)
+    assert codes.size == 6 and codes.is_small == (small_limit > 0)
+    got = {(r.region, r.shelf_location, r.region_encoded, r.shelf_location_encoded) for r in
+           encoding.label_encode(df, codes).collect()}
+    assert got == {("b", "x", 1, 0), ("a", "y", 0, 1), (None, "x", 3, 0), ("c", "y", 2, 1), ("a", "x", 0, 0)}
+
+
+def test_both_rankings_agree_on_many_labels(spark):
+    df = spark.range(5000).selectExpr("concat('label ', id % 1237) as region")
+    small = encoding.fit_label_codes(df, ("region",))
+    large = encoding.fit_label_codes(df, ("region",), 0)
+    assert small.size == large.size == 1237
+    assert small.table.exceptAll(large.table.select(*small.table.columns)).count() == 0
+
+
+def test_unseen_label_raises(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "region string")
+    codes = encoding.fit_label_codes(df, ("region",))
+    with pytest.raises(Exception, match="unseen label in region: zz"):
+        encoding.label_encode(spark.createDataFrame([("zz",)], "region string"), codes).collect()
+
+
+def test_elasticity_at_price_zero(spark):
+    rows = [(0.0, 5.0, 2.0), (0.0, 0.0, 0.0), (2.0, 5.0, 10.0)]
+    df = spark.createDataFrame(rows, "price double, monthly_sales double, store_size double")
+    got = features.ratio_features(df).collect()
+    assert got[0].price_elasticity == 0.0 and math.isnan(got[1].price_elasticity) and got[2].price_elasticity == 2.5
+    assert got[1].sales_per_sqft is None and got[2].sales_per_sqft == 0.5
+
+
+def test_log_edges(spark):
+    df = spark.createDataFrame([(-2.0,), (-1.0,), (0.0,)], "x double").selectExpr(
+        "x as monthly_sales", "x as store_size", "x as weekly_foot_traffic"
+    )
+    assert [r.log_store_size for r in features.log_features(df).collect()] == [None, None, 0.0]
+
+
+def test_features_with_and_without_the_target_ratio():
+    assert len(features.feature_names()) == 16
+    assert features.feature_names(False) == features.feature_names()[:-1]
+
+
+def test_expected_sales_is_floored(spark):
+    df = spark.sql(
+        "select 500D population_density, 60000D median_income, 50000D store_size, 10000D weekly_foot_traffic,"
+        " explode(array(3D, 50D)) price, 0.5D promotion_intensity, 'Eye Level' shelf_location, 0 i"
+    )
+    got = [r[0] for r in df.select(features.expected_sales("i")).collect()]
+    assert got == [pytest.approx(50 + 6 + 50 + 500 + 400 + 250 + 200), 0.0]
+
+
+def test_pairwise_correlation_skips_missing(spark):
+    df = spark.createDataFrame(
+        [(1.0, 2.0), (2.0, None), (3.0, 7.0), (None, 1.0), (5.0, 4.0), (NAN, 9.0)], "price double, monthly_sales double"
+    )
+    assert exploration.price_sales_corr(df).first().correlation == pytest.approx(0.39736, abs=1e-5)
+
+
+def test_means_skip_missing_groups_and_values(spark):
+    rows = [("Eye Level", 4.0), ("Eye Level", NAN), ("Top Shelf", 2.0), (None, 100.0), ("Bottom Shelf", 4.0)]
+    df = spark.createDataFrame(rows, "shelf_location string, monthly_sales double")
+    shares = {r.shelf_location: (r.mean_sales, r.share_pct) for r in exploration.shelf_mean_sales(df).collect()}
+    assert shares == {"Bottom Shelf": (4.0, 40.0), "Eye Level": (4.0, 40.0), "Top Shelf": (2.0, 20.0)}
+    lift = exploration.shelf_lift(df).first()
+    assert (lift.best_shelf, lift.lift_pct) == ("Bottom Shelf", 100.0)

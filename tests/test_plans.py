@@ -1,0 +1,69 @@
+"""The shape of the physical plans."""
+
+import re
+
+import pytest
+
+from catalog.queries import cleaned, registry
+from tillframe.operators import sales
+from tillframe.sources.star_schema import TABLES, observations, order_lines
+
+
+def physical_plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def tables_read(df) -> set[str]:
+    return {t for t in TABLES if f"/{t}.parquet" in physical_plan(df)}
+
+
+@pytest.mark.parametrize("name", ["promotion_bins", "standardize", "scenario_summary", "kpi_report_rows", "shelf_lift"])
+def test_no_cross_joins(spark, folder, name):
+    plan = physical_plan(registry()[name](spark, folder))
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_only_needed_dimensions_are_read(spark, folder):
+    assert tables_read(observations(spark, folder, ["price", "monthly_sales"])) == {"lineitem"}
+    assert tables_read(cleaned(spark, folder, "product_id")) == {"lineitem", "part"}
+    assert tables_read(order_lines(spark, folder)) == set(TABLES)
+
+
+def test_scan_reads_few_columns_and_filters_early(spark, folder):
+    plan = physical_plan(sales.category_performance(cleaned(spark, folder, "category", "sub_category", "discount")))
+    lineitem = next(line for line in plan.splitlines() if "lineitem" in line)
+    columns = re.search(r"ReadSchema: struct<([^>]*)", lineitem).group(1)
+    assert "l_tax" not in columns and "l_shipdate" not in columns and "l_suppkey" not in columns
+    assert "IsNotNull(l_quantity)" in lineitem
+
+
+def test_pruned_columns_keep_the_same_rows(spark, folder):
+    """Leaving dimensions out must not change the rows: every foreign key has one match."""
+    full = order_lines(spark, folder)
+    for columns in (["sales"], ["sales", "category"], ["order_id", "market"], ["customer_id", "region"]):
+        pruned = order_lines(spark, folder, columns)
+        same = full.select(*pruned.columns)
+        assert pruned.exceptAll(same).count() == same.exceptAll(pruned).count() == 0
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+def test_foreign_keys_have_one_match(spark, scale):
+    folder = f"/root/testdata/sf{scale}"
+    keys = {
+        ("lineitem", "l_orderkey"): ("orders", "o_orderkey"),
+        ("lineitem", "l_partkey"): ("part", "p_partkey"),
+        ("lineitem", "l_suppkey"): ("supplier", "s_suppkey"),
+        ("orders", "o_custkey"): ("customer", "c_custkey"),
+    }
+    for (table, foreign), (dimension, key) in keys.items():
+        facts = spark.read.parquet(f"{folder}/{table}.parquet")
+        dim = spark.read.parquet(f"{folder}/{dimension}.parquet")
+        assert dim.count() == dim.select(key).distinct().count()
+        assert facts.join(dim, facts[foreign] == dim[key], "left_anti").count() == 0
+
+
+def test_stated_table_schemas_are_the_stored_ones(spark, folder):
+    for table, schema in TABLES.items():
+        stored = spark.read.parquet(f"{folder}/{table}.parquet")
+        stated = spark.read.schema(schema).parquet(f"{folder}/{table}.parquet")
+        assert stated.dtypes == stored.dtypes

@@ -1,0 +1,94 @@
+import pytest
+
+from tests.test_plans import physical_plan
+from tillframe.operators import kpi, sales
+from tillframe.operators.cleaning import cleaned_lines
+from tillframe.sources.star_schema import order_lines
+
+
+@pytest.fixture(scope="module")
+def lines(spark, folder):
+    return cleaned_lines(order_lines(spark, folder))
+
+
+def test_ties_at_the_cut_follow_the_key(spark):
+    countries = [f"country {i:02d}" for i in range(12)]
+    rows = [(c, f"customer {c}", 10.0, 1.0) for c in reversed(countries)]
+    df = spark.createDataFrame(rows, "country string, customer_id string, sales double, profit double")
+    assert [r.country for r in sales.top_countries(df).collect()] == countries[:10]
+
+
+def test_optional_columns(lines):
+    assert sales.market_performance(lines.drop("market")) is None
+    assert sales.weekly_sales(lines.drop("weeknum")) is None
+    assert sales.weekly_sales(lines.drop("year")) is None
+    assert sales.shipping_cost_summary(lines.drop("shipping_cost")) is None
+    assert kpi.best_market(lines.drop("market")) is None
+    assert kpi.kpi_shipping_total(lines.drop("shipping_cost")) is None
+
+
+def test_kpi_report_without_market_and_with_time(lines):
+    metrics = [r.metric for r in kpi.kpi_report(lines.drop("market"), "2024-01-02 03:04:05").collect()]
+    assert "best_market" not in metrics and metrics[-1] == "analysed_at"
+    full = {r.metric: r.value for r in kpi.kpi_report(lines).collect()}
+    best = kpi.best_market(lines).first()
+    assert full["best_market"] == f"{best.market} (${best.total_profit:,.2f})"
+    summary = kpi.kpi_summary(lines).first()
+    assert full["total_sales"] == f"${summary.total_sales:,.2f}"
+    assert full["total_transactions"] == f"{summary.line_count:,}"
+
+
+def test_kpi_report_winner_tie_takes_the_smallest_name(spark):
+    rows = [("b", "x", "c1", 10.0, 2.0), ("a", "x", "c1", 10.0, 2.0), ("c", "y", "c2", 10.0, 1.0)]
+    df = spark.createDataFrame(rows, "region string, category string, customer_id string, sales double, profit double")
+    values = {r.metric: r.value for r in kpi.kpi_report(df).collect()}
+    assert values["best_region"] == "a ($2.00)" and values["best_category"] == "x (20.0%)"
+
+
+def test_correlation_counts_missing_as_zero(spark):
+    rows = [(1, 2.0), (2, None), (3, 7.0), (None, 1.0), (5, 4.0)]
+    df = spark.createDataFrame(rows, "shipping_days int, sales double")
+    assert sales.shipping_sales_corr(df).first().correlation == pytest.approx(0.57142, abs=1e-5)
+
+
+def test_customer_value_rounds_each_customer_first(spark):
+    df = spark.createDataFrame([("a", 0.004), ("b", 0.004), ("c", 1.0)], "customer_id string, sales double")
+    assert kpi.avg_customer_value(df).first().avg_customer_value == 0.33
+
+
+def test_unparsed_dates_form_a_null_period(spark):
+    rows = [("2011-01", 1.0, 1.0, "o1"), (None, 2.0, 1.0, "o2")]
+    df = spark.createDataFrame(rows, "year_month string, sales double, profit double, order_id string")
+    assert [(r.year_month, r.total_sales) for r in sales.monthly_sales(df).collect()] == [(None, 2.0), ("2011-01", 1.0)]
+
+
+def test_profitable_products_leaves_out_losses(spark):
+    rows = [("p1", "a", "x", 5.0, -1.0), ("p2", "b", "x", 5.0, 1.0), ("p3", "c", "x", 5.0, 0.001)]
+    df = spark.createDataFrame(
+        rows, "product_id string, product_name string, category string, sales double, profit double"
+    )
+    assert [r.product_id for r in sales.top_profitable_products(df).collect()] == ["p2"]
+
+
+def test_reports_do_not_depend_on_partitioning(lines):
+    spread = lines.repartition(7, "product_id")
+    assert sales.region_performance(spread).collect() == sales.region_performance(lines).collect()
+    assert sales.top_products(spread).collect() == sales.top_products(lines).collect()
+
+
+def test_one_hot_key_keeps_every_row(spark, lines):
+    """A third of all rows under one customer, order and product: totals and counts stay exact."""
+    hot = lines.withColumns({c: lines["segment"].substr(0, 0) for c in ("customer_id", "order_id", "product_id")})
+    both = lines.unionByName(hot.limit(lines.count() // 2))
+    overview = kpi.kpi_summary(both).first()
+    base = kpi.kpi_summary(lines).first()
+    assert overview.line_count == base.line_count + base.line_count // 2
+    assert overview.customer_count == base.customer_count + 1
+    assert overview.order_count == base.order_count + 1
+
+
+@pytest.mark.parametrize(
+    "operator", [sales.top_countries, sales.top_products, sales.top_customers, sales.weekly_sales, kpi.best_region]
+)
+def test_top_lists_use_a_bounded_heap(lines, operator):
+    assert "TakeOrderedAndProject" in physical_plan(operator(lines))

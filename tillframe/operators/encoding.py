@@ -24,6 +24,11 @@ class LabelCodes:
     columns: tuple[str, ...]
     small_limit: int = SMALL_LABEL_COUNT
 
+    @property
+    def is_small(self) -> bool:
+        """Whether the counted labels are few enough to broadcast."""
+        return self.size <= self.small_limit
+
 
 def fit_label_codes(
     df: DataFrame, columns: tuple[str, ...] = CATEGORICAL, small_limit: int = SMALL_LABEL_COUNT
@@ -47,7 +52,7 @@ def label_encode(df: DataFrame, codes: LabelCodes) -> DataFrame:
         lookup = codes.table.filter(F.col("column_name") == column).select(
             F.col("label").alias(label), F.col("code").alias(code)
         )
-        if codes.size <= codes.small_limit:
+        if codes.is_small:
             lookup = F.broadcast(lookup)
         shown = F.coalesce(F.col(column), F.lit("NULL"))
         unseen = F.raise_error(F.concat(F.lit(f"unseen label in {column}: "), shown)).cast("int")

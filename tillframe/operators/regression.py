@@ -21,10 +21,11 @@ from tillframe.operators.features import (
     TARGET_RATIO,
     feature_names,
     interaction_features,
+    ratio_features,
     scaler_params,
     standardize,
 )
-from tillframe.session import ensure_checkpoint_dir, materialize, spread
+from tillframe.session import ensure_checkpoint_dir, materialize
 
 KEY = "obs_key"
 # Training share in percent, folds, seed.
@@ -100,15 +101,23 @@ def with_folds(df: DataFrame, key: str = KEY, folds: int = FOLDS) -> DataFrame:
 
 
 def model_table(
-    features: DataFrame, codes: LabelCodes, include_target_ratio: bool = True, folds: int = FOLDS
+    observations: DataFrame, codes: LabelCodes, include_target_ratio: bool = True, folds: int = FOLDS
 ) -> ModelTable:
-    """Split, scale and assemble a feature table, written once for the many passes of training."""
+    """Split, scale and assemble observations for training.
+
+    Training makes a few passes over the rows before it keeps its own binned
+    copy. With broadcast codes each pass is one scan of ``observations``, so
+    pass a written table; with codes that need shuffles the assembled rows are
+    written once instead.
+    """
     names = feature_names(include_target_ratio)
-    parts = with_folds(train_test_split(features), folds=folds)
+    parts = with_folds(train_test_split(observations), folds=folds)
     scaler = _fixed(scaler_params(parts.filter(F.col("split") == "train")))
-    assembled = _assemble(parts, scaler, names)
-    rows = materialize(assembled.select(KEY, TARGET, "features", "split", "fold"), "model-table")
-    return ModelTable(spread(rows), scaler, codes, names)
+    featured = ratio_features(interaction_features(label_encode(parts, codes)))
+    rows = _assemble(featured, scaler, names).select(KEY, TARGET, "features", "split", "fold")
+    if not codes.is_small:
+        rows = materialize(rows, "model-table")
+    return ModelTable(rows, scaler, codes, names)
 
 
 def fit_model(name: str, estimator: Estimator, table: ModelTable) -> SalesModel:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillframe.functions.measures import average, margin_pct, total, zero_filled_corr
+from tillframe.functions.measures import average, exact_avg, margin_pct, total, zero_filled_corr
 from tillframe.schema import has_columns
 
 # Measures several reports share; built on use, as a Column needs a session.
@@ -22,7 +22,7 @@ MEASURES = {
     "avg_profit": lambda: average("profit"),
     "avg_shipping_days": lambda: average("shipping_days"),
     "avg_margin_pct": lambda: average("profit_margin"),
-    "avg_discount_pct": lambda: F.round(F.avg("discount") * 100, 2),
+    "avg_discount_pct": lambda: F.round(exact_avg("discount") * 100, 2),
     "margin_pct": margin_pct,
     "line_count": lambda: F.count("order_id"),
     "customer_count": lambda: F.count_distinct("customer_id"),

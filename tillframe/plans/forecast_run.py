@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 
 from tillframe.operators import exploration, regression, scenarios
 from tillframe.operators.encoding import fit_label_codes
-from tillframe.operators.features import feature_table
-from tillframe.session import materialize
+from tillframe.session import materialize, spread
 
 
 @dataclass(frozen=True)
@@ -51,9 +50,9 @@ def run(
     The observations are written once, as training reads them many times; the
     products are scored under all scenarios in one pass.
     """
-    table = materialize(observations, "observations")
+    table = spread(materialize(observations, "observations"), regression.KEY)
     codes = fit_label_codes(table)
-    rows = regression.model_table(feature_table(table, codes), codes, include_target_ratio, folds)
+    rows = regression.model_table(table, codes, include_target_ratio, folds)
     model, metrics = regression.model_selection(estimators or regression.default_estimators(), rows, folds)
     scored = regression.score_products(scenarios.scenario_grid(products), model)
     return ForecastRun(

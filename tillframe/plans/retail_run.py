@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +12,7 @@ from tillframe.sinks import writers
 from tillframe.sources.csv_lines import read_order_lines
 
 CLEANED = "cleaned_data"
+SAVES_AT_ONCE = 4
 
 
 @dataclass(frozen=True)
@@ -57,22 +59,29 @@ def save_bundle(
 ) -> dict[str, str]:
     """Save the cleaned lines as Parquet and CSV and every report as CSV; returns name/format -> path.
 
-    Reports that are None are skipped. ``samples`` adds the capped CSV exports.
+    Reports that are None are skipped. ``samples`` adds the capped CSV exports,
+    taken from the saved files so that no report is computed twice.
     ``lines_parquet`` names an existing Parquet copy of the lines, which is
-    then not written again.
+    then not written again. A few saves run side by side, as most reports end
+    in a handful of small tasks.
     """
-    saved = {}
-    for name, df in results.items():
-        if df is None:
-            continue
+
+    def save_one(name: str, df: DataFrame) -> dict[str, str]:
         stem, cap = f"analysis_{name}", writers.REPORT_SAMPLE_ROWS
+        saved = {}
         if name == CLEANED:
             stem, cap = name, writers.LINES_SAMPLE_ROWS
             saved[f"{name}/parquet"] = lines_parquet or writers.save(df, result_path(base, stem, "parquet"), "parquet")
         saved[f"{name}/csv"] = writers.save(df, result_path(base, stem, "csv"), "csv")
         if samples:
-            saved[f"{name}/sample"] = writers.sample_export(df, result_path(base, stem, "sample"), cap)
-    return saved
+            stored = writers.load(df.sparkSession, saved[f"{name}/csv"], df, "csv")
+            saved[f"{name}/sample"] = writers.sample_export(stored, result_path(base, stem, "sample"), cap)
+        return saved
+
+    present = {name: df for name, df in results.items() if df is not None}
+    with ThreadPool(SAVES_AT_ONCE) as pool:
+        parts = pool.starmap(save_one, present.items())
+    return {path_name: path for part in parts for path_name, path in part.items()}
 
 
 def run(raw: DataFrame, base: str, analysed_at: str | None = None, samples: bool = False) -> RetailRun:

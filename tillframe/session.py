@@ -63,11 +63,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a file scan that has fewer splits than the cluster has cores.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Repartition, by a fine-grained key, a file scan that has fewer splits than the cluster has cores.
 
     Such a scan is small (under one split per core), so the shuffle is cheap;
     larger scans are returned as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
