@@ -2,39 +2,24 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-# Below this magnitude a value is summed in whole units and millionths, both as integers: with up to
-# 9 * 10^12 rows neither sum can overflow.
-SPLIT_BELOW = 1e6
-MILLIONTH = Decimal("0.000001")
-
-
 def exact_sum(column: str | Column) -> Column:
     """Sum of doubles that does not depend on the order of the rows.
 
     A plain sum of doubles changes in its last bits with the partitioning, and
     amounts in fractions of a cent often sum to exactly half a cent, where
-    those bits decide the rounding. Whole units and millionths are therefore
-    summed as integers, and what is left below a millionth is rounded to one
-    after summing. Large, infinite and NaN values are summed as doubles.
+    those bits decide the rounding. Sums of whole numbers are exact, so whole
+    and fractional parts are summed apart, and the small fractional sum is
+    rounded to a millionth, which takes its noise away. Infinite and NaN
+    values give what a plain sum gives.
     """
     value = (F.col(column) if isinstance(column, str) else column).cast("double")
-    split = F.abs(value) < SPLIT_BELOW
-    whole = F.rint(value)
-    millionths = F.rint((value - whole) * 1_000_000)
-    rest = F.sum(F.when(split, (value - whole) - millionths / 1_000_000).otherwise(value))
-
-    def integers(part: Column) -> Column:
-        return F.coalesce(F.sum(F.when(split, part.cast("bigint"))), F.lit(0)).cast("decimal(20,0)")
-
-    counted = integers(whole) + integers(millionths) * F.lit(MILLIONTH)
-    rounded = F.round(rest, 6).try_cast("decimal(28,6)")
-    return F.coalesce((counted + rounded).cast("double"), counted.cast("double") + rest)
+    whole, rest = F.sum(F.rint(value)), F.sum(value - F.rint(value))
+    joined = whole.try_cast("decimal(32,6)") + F.round(rest, 6).try_cast("decimal(32,6)")
+    return F.coalesce(joined.cast("double"), F.when(F.isnan(rest), whole).otherwise(whole + rest))
 
 
 def exact_avg(column: str | Column) -> Column:
