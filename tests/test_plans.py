@@ -6,6 +6,7 @@ import pytest
 
 from catalog.queries import cleaned, registry
 from tillframe.operators import sales
+from tillframe.sources import star_schema
 from tillframe.sources.star_schema import TABLES, observations, order_lines
 
 
@@ -67,3 +68,16 @@ def test_stated_table_schemas_are_the_stored_ones(spark, folder):
         stored = spark.read.parquet(f"{folder}/{table}.parquet")
         stated = spark.read.schema(schema).parquet(f"{folder}/{table}.parquet")
         assert stated.dtypes == stored.dtypes
+
+
+def test_large_dimensions_are_joined_by_shuffles(spark, folder, monkeypatch):
+    small = order_lines(spark, folder)
+    assert "BroadcastHashJoin" in physical_plan(small)
+    monkeypatch.setattr(star_schema, "BROADCAST_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = order_lines(spark, folder)
+        assert "SortMergeJoin" in physical_plan(large) and "BroadcastHashJoin" not in physical_plan(large)
+        assert large.exceptAll(small).count() == small.exceptAll(large).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -63,6 +63,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scan_bytes(*scans: DataFrame) -> int:
+    """Stored size of plain table scans, as Spark's statistics state it."""
+    return sum(int(str(s._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for s in scans)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Repartition, by a fine-grained key, a file scan that has fewer splits than the cluster has cores.
 

@@ -5,11 +5,12 @@ those columns come from. Every foreign key of ``lineitem`` and ``orders`` has
 exactly one match, so leaving a dimension out keeps the same rows, and ids are
 taken from the foreign key without reading the dimension.
 
-No join carries a broadcast hint: Catalyst and adaptive execution compare the
-real sizes with the broadcast threshold, and split skewed shuffle partitions
-when a side is too large. Small dimensions are joined to each other first, so
-the fact table takes part in at most three joins. A fact table that is stored
-in fewer splits than there are cores is spread over the cores first.
+Dimensions are joined to each other first, so the fact table takes part in at
+most three joins. Spark cannot tell the size of such a joined dimension from
+its plan, so the stored sizes of its tables are added up: small ones are
+broadcast, others are left to sort-merge joins and adaptive skew splitting. A
+fact table that is stored in fewer splits than there are cores is spread over
+the cores first.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillframe.session import spread
+from tillframe.session import scan_bytes, spread
+
+# Stored bytes of a dimension's tables up to which it is broadcast.
+BROADCAST_BYTES = 10 * 1024 * 1024
 
 DATE_FORMAT = "MM/dd/yyyy"
 
@@ -151,21 +155,28 @@ def observations(spark: SparkSession, folder: str, columns: Iterable[str] | None
 def _fact_table(spark: SparkSession, folder: str, needs: set[str], with_counts: bool) -> DataFrame:
     facts = spread(_table(spark, folder, "lineitem"), "l_orderkey")
     if "orders" in needs:
-        orders = _table(spark, folder, "orders")
+        orders, scans = _table(spark, folder, "orders"), ["orders"]
         if "customer" in needs:
             customer = _customers(spark, folder, "geography" in needs, with_counts)
-            orders = orders.join(customer, orders.o_custkey == customer.c_custkey)
-        facts = facts.join(orders, facts.l_orderkey == orders.o_orderkey)
+            orders, scans = orders.join(customer, orders.o_custkey == customer.c_custkey), ["orders", "customer"]
+        facts = facts.join(_sized(spark, folder, orders, scans), F.col("l_orderkey") == F.col("o_orderkey"))
     if "part" in needs:
-        part = _table(spark, folder, "part")
-        facts = facts.join(part, facts.l_partkey == part.p_partkey)
+        part = _sized(spark, folder, _table(spark, folder, "part"), ["part"])
+        facts = facts.join(part, F.col("l_partkey") == F.col("p_partkey"))
     if "supplier" in needs:
         places = _places(spark, folder, "supplier")
         supplier = _table(spark, folder, "supplier").join(places, F.col("s_nationkey") == F.col("supplier_nationkey"))
+        supplier = _sized(spark, folder, supplier, ["supplier"])
         facts = facts.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     return facts
 
 
+def _sized(spark: SparkSession, folder: str, dimension: DataFrame, tables: list[str]) -> DataFrame:
+    """Mark a dimension for broadcast if the tables that make up its rows are stored small."""
+    stored = scan_bytes(*[_table(spark, folder, t) for t in tables])
+    return F.broadcast(dimension) if stored <= BROADCAST_BYTES else dimension
+
+
 def _customers(spark: SparkSession, folder: str, with_geography: bool, with_counts: bool) -> DataFrame:
     customer = _table(spark, folder, "customer")
     if not with_geography:
