@@ -49,7 +49,7 @@ def test_bins_of_constants_and_gaps(spark, values):
     assert [r.bin_label for r in rows] == [str(i) for i in expected.index]
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1e4, 1e4, allow_nan=False).map(lambda x: round(x, 3)), min_size=1, max_size=30))
 def test_bins_like_pandas(spark, values):
     assert_like_pandas(binned(spark, values), pandas_means(values))

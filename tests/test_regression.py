@@ -110,7 +110,7 @@ def test_without_the_target_ratio(rows):
 
 def test_selection_takes_the_best_by_test_score(table):
     weak = regression.random_forest(trees=1, depth=1, bins=32)
-    best, metrics = regression.model_selection({"weak": weak, "boosting": boosting(), "same": boosting()}, table, folds=5)
+    best, metrics = regression.model_selection({"weak": weak, "boosting": boosting(), "same": boosting()}, table, folds=2)
     rows = {r.model: r for r in metrics.collect()}
     assert best.name == "boosting" and rows["boosting"].is_best and not rows["same"].is_best
     assert rows["boosting"].r2 == rows["same"].r2 > rows["weak"].r2
