@@ -256,13 +256,13 @@ def trained(name: str) -> Query:
 
 def cross_validation(spark: SparkSession, folder: str) -> DataFrame:
     table = training_table(spark, folder)
-    _, scores = regression.cross_validate("random_forest", estimators()["random_forest"], table, QUERY_FOLDS)
+    _, scores = regression.cross_validate("random_forest", estimators()["random_forest"], table)
     return scores
 
 
 def model_selection(spark: SparkSession, folder: str) -> DataFrame:
     table = training_table(spark, folder)
-    return regression.model_selection(estimators(), table, QUERY_FOLDS)[1]
+    return regression.model_selection(estimators(), table)[1]
 
 
 def fitted_forest(spark: SparkSession, folder: str) -> regression.SalesModel:

@@ -53,6 +53,7 @@ class ModelTable:
     scaler: DataFrame
     codes: LabelCodes
     features: list[str]
+    folds: int
 
     @property
     def train(self) -> DataFrame:
@@ -117,7 +118,7 @@ def model_table(
     rows = _assemble(featured, scaler, names).select(KEY, TARGET, "features", "split", "fold")
     if not codes.is_small:
         rows = materialize(rows, "model-table")
-    return ModelTable(rows, scaler, codes, names)
+    return ModelTable(rows, scaler, codes, names, folds)
 
 
 def fit_model(name: str, estimator: Estimator, table: ModelTable) -> SalesModel:
@@ -142,16 +143,14 @@ def regression_metrics(df: DataFrame, target: str = TARGET, prediction: str = "p
     )
 
 
-def cross_validate(
-    name: str, estimator: Estimator, table: ModelTable, folds: int = FOLDS
-) -> tuple[SalesModel, DataFrame]:
+def cross_validate(name: str, estimator: Estimator, table: ModelTable) -> tuple[SalesModel, DataFrame]:
     """R² over the folds of the training part, and the model refitted on all of it."""
     ensure_checkpoint_dir(table.rows.sparkSession)
     validator = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=[{}],
         evaluator=RegressionEvaluator(labelCol=TARGET, metricName="r2"),
-        numFolds=folds,
+        numFolds=table.folds,
         foldCol="fold",
     )
     fitted = validator.fit(table.train)
@@ -162,16 +161,14 @@ def cross_validate(
     return SalesModel(name, fitted.bestModel, table.codes, table.scaler, table.features), scores
 
 
-def model_selection(
-    estimators: dict[str, Estimator], table: ModelTable, folds: int = FOLDS
-) -> tuple[SalesModel, DataFrame]:
+def model_selection(estimators: dict[str, Estimator], table: ModelTable) -> tuple[SalesModel, DataFrame]:
     """Train and cross-validate every estimator; the best by held-out R², and all metrics.
 
     Of equal models the first wins.
     """
     models, rows = {}, []
     for ordinal, (name, estimator) in enumerate(estimators.items(), start=1):
-        models[name], scores = cross_validate(name, estimator, table, folds)
+        models[name], scores = cross_validate(name, estimator, table)
         held_out = regression_metrics(predict_test(models[name], table))
         cv = scores.first()
         rows.append(

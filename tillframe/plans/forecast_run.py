@@ -53,7 +53,7 @@ def run(
     table = spread(materialize(observations, "observations"), regression.KEY)
     codes = fit_label_codes(table)
     rows = regression.model_table(table, codes, include_target_ratio, folds)
-    model, metrics = regression.model_selection(estimators or regression.default_estimators(), rows, folds)
+    model, metrics = regression.model_selection(estimators or regression.default_estimators(), rows)
     scored = regression.score_products(scenarios.scenario_grid(products), model)
     return ForecastRun(
         model=model,
