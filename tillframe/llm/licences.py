@@ -118,7 +118,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["licence"]))), ",").alias("licences"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["kind"]))), ",").alias("kinds"),
         (F.size(F.split(both[0], ",")) - 2).cast("long").alias("n_sentences"),
-        F.trim(F.lit(","), both[0]).alias("sentence_ids"),
+        F.trim(both[0], F.lit(",")).alias("sentence_ids"),
     )
 
 

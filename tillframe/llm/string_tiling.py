@@ -54,8 +54,8 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bit_map(items: DataFrame) -> np.ndarray:
     """The seeds' bits, MAP_BITS of them whatever the benchmark's size; built in the cluster, 4 KB a row."""
-    bit = F.pmod(F.explode("seeds"), F.lit(MAP_BITS))
-    rows = items.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+    places = items.select(F.explode("seeds").alias("seed")).select(F.pmod("seed", F.lit(MAP_BITS)).alias("bit"))
+    rows = places.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")
     )
     bits = np.zeros(MAP_BITS // 8 + 4096, np.uint8)
