@@ -259,6 +259,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, start, stop (bytes) that are to go from each text; spans may overlap. docs: doc_id, text, text_hash."""
     rows = materialize(run_rows(docs), "substring-runs")
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), (F.min("bytes") != F.max("bytes")).alias("differ")).where("n > 1").drop("n")
+    keys = materialize(keys, "substring-keys")  # a join with a table, not with an aggregate, can be split
     again = materialize(rows.join(keys, "key"), "substring-repeated")  # adaptive execution splits a core that is hot
     place = F.struct("doc_id", "text_hash", "first", "windows")
     whole = materialize(again.groupBy("key", "bytes", "differ").agg(F.count("*").alias("n"), F.min(place).alias("place")), "substring-whole")
@@ -268,7 +269,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     run = F.struct("place.first", "place.windows", "key", "bytes", (F.col("n") > 1).alias("settled"))
     wanted = whole.where("differ").groupBy("place.doc_id", "place.text_hash").agg(F.collect_list(run).alias("runs"))
     edges = materialize(edge_rows(docs, wanted), "substring-edges")
-    sizes = edges.groupBy("fine_key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = materialize(edges.groupBy("fine_key").agg(F.count("*").alias("n")).where("n > 1"), "substring-sizes")
     grouped = edges.join(sizes, "fine_key")
     small = grouped.where(F.col("n") <= GROUP_EDGES).drop("n")
     order = ["fine_key", "doc_id", "text_hash", "first"]
@@ -278,6 +279,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     )
     places = F.struct("doc_id", "text_hash", "first")
     several = single.groupBy("fine_key", "window").agg((F.min(places) != F.max(places)).alias("several")).where("several").drop("several")
+    several = materialize(several, "substring-windows")
     windows = single.where("not settled").join(several, ["fine_key", "window"]).select(
         "doc_id", "text_hash", F.col("first").alias("start"), (F.col("first") + LENGTH).alias("stop")
     )
@@ -302,6 +304,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], as_text: bool = False) -> D
     """
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     spans = repeated_spans(texts).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = materialize(spans, "substring-spans")
     base = docs.withColumn("text_hash", F.xxhash64("text"))
     same = base["doc_id"].eqNullSafe(spans["doc_id"]) & (base["text_hash"] == spans["text_hash"])
     joined = base.join(spans, same, "left").select(*[base[k] for k in keep], base["text"].alias("__text"), "spans")
