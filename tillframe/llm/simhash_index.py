@@ -114,4 +114,5 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, n: int = SHINGL
     of_print = grouped.select("fp", "root").join(least, "root").select(
         "fp", F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("keep_hash")
     )
+    of_print = materialize(of_print, "components")  # a join with a table can be split where a fingerprint is hot
     return prints.join(of_print, "fp").select("doc_id", "text_hash", "fp", "component_id", "keep_hash")

@@ -189,6 +189,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = COVE
 
     covered = joined.mapInArrow(tiled, "text_hash long, n_words long, item_id long, coverage double")
     best = covered.groupBy("text_hash", "n_words").agg(F.max(F.struct("coverage", (-F.col("item_id")).alias("back"))).alias("top"))
+    best = materialize(best, "coverage")  # a join with a table can be split where a text is hot
     return scanned.drop("doc_words").join(best, ["text_hash", "n_words"], "left").select(
         "doc_id", "text_hash", "n_words", (-F.col("top.back")).alias("item_id"),
         F.coalesce("top.coverage", F.lit(0.0)).alias("coverage"),
