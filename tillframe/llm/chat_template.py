@@ -214,13 +214,15 @@ def fold(tree: tuple) -> tuple:
     """The tree with constant expressions evaluated, branches that cannot run removed and neighbouring texts joined."""
     kind = tree[0]
     if kind == "block":
-        nodes: list[tuple] = []
+        plain: list[tuple] = []
         for node in map(fold, tree[1]):
-            if node[0] == "output" and node[1][0] == "const":
-                node = ("text", _shown(node[1][1]))
             if node[0] == "if" and (not node[1] or node[1][0][0][0] == "const"):
-                nodes += node[1][0][1][1] if node[1] else []
-            elif node[0] == "text" and nodes and nodes[-1][0] == "text":
+                plain += node[1][0][1][1] if node[1] else []
+            else:
+                plain.append(("text", _shown(node[1][1])) if node[0] == "output" and node[1][0] == "const" else node)
+        nodes: list[tuple] = []
+        for node in plain:
+            if node[0] == "text" and nodes and nodes[-1][0] == "text":
                 nodes[-1] = ("text", nodes[-1][1] + node[1])
             elif node != ("text", ""):
                 nodes.append(node)

@@ -36,13 +36,14 @@ class LanguageModel:
 
 def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of presence bits, and whether each text has a letter. Case is folded; non-letters count as one gap."""
-    points, starts = code_points([t.lower() for t in texts])
+    points, starts = code_points(["\n" + t.lower() for t in texts])  # a gap on either side
     letters = letter_table()[points]
     symbols = np.where((letters == 1) | (letters == 2), points, 0).astype(np.uint64)
     row = np.repeat(np.arange(len(texts)), np.diff(starts))
     gap = symbols == 0
     keep = ~gap
-    keep[1:] |= gap[1:] & ~gap[:-1]
+    keep[:1] = True
+    keep[1:] |= ~gap[:-1] | (row[1:] != row[:-1])
     symbols, row = symbols[keep], row[keep]
     bits = np.zeros(len(texts) << BITS, bool)
     lettered = np.zeros(len(texts), bool)

@@ -53,8 +53,11 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bit_map(items: DataFrame) -> np.ndarray:
-    """The seeds' bits, MAP_BITS of them whatever the benchmark's size; built in the cluster, 4 KB a row."""
-    places = items.select(F.explode("seeds").alias("seed")).select(F.pmod("seed", F.lit(MAP_BITS)).alias("bit"))
+    """The seeds' bits, MAP_BITS of them whatever the benchmark's size; built in the cluster, 4 KB a row.
+
+    Spark's bit maps count buckets and bits from one.
+    """
+    places = items.select(F.explode("seeds").alias("seed")).select((F.pmod("seed", F.lit(MAP_BITS)) + 1).alias("bit"))
     rows = places.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")
     )
@@ -146,11 +149,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = COVE
     """doc_id, text_hash, n_words, item_id, coverage and contaminated of every row of ``docs``.
 
     item_id is the item with the highest coverage (ties: the smallest id), null with coverage 0 where no seed is shared.
-    Null and empty texts have no words and are clean; an item of under five words has no seed and matches nothing;
+    Null and empty texts have no words and are clean; a benchmark row without id or text takes no part; an item of under five words has no seed and matches nothing;
     rows of the same id and text get the same result. text_hash is xxhash64 of the text.
     """
     spark = docs.sparkSession
-    items = materialize(benchmark.where("text is not null").mapInArrow(_items, "item_id long, item_words array<long>, seeds array<long>"), "benchmark-items")
+    items = materialize(benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text").mapInArrow(_items, "item_id long, item_words array<long>, seeds array<long>"), "benchmark-items")
     held = spark.sparkContext.broadcast(_bit_map(items))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +169,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = COVE
                 names=["doc_id", "text_hash", "n_words", "doc_words"],
             )
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     scanned = materialize(rows.mapInArrow(kept, "doc_id long, text_hash long, n_words long, doc_words array<long>"), "touched-words")
     # Rows of one id and text are tiled once; a text's stretches depend on its words alone.
     distinct = scanned.where("doc_words is not null").groupBy("text_hash", "n_words").agg(F.min("doc_words").alias("doc_words"))

@@ -307,14 +307,14 @@ def remove_repeats(docs: DataFrame, keep: list[str], as_text: bool = False) -> D
     spans = materialize(spans, "substring-spans")
     base = docs.withColumn("text_hash", F.xxhash64("text"))
     same = base["doc_id"].eqNullSafe(spans["doc_id"]) & (base["text_hash"] == spans["text_hash"])
-    joined = base.join(spans, same, "left").select(*[base[k] for k in keep], base["text"].alias("__text"), "spans")
+    joined = base.join(spans, same, "left").select(*[base[k] for k in keep], base["text"].alias("__text"), spans["spans"].alias("__spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("__text"))
             raw = memoryview(data)
             out: list[tuple] = []
-            for i, spans_ in enumerate(batch.column("spans").to_pylist()):
+            for i, spans_ in enumerate(batch.column("__spans").to_pylist()):
                 a, b = int(offsets[i]), int(offsets[i + 1])
                 gone = merged(spans_ or [], b - a)
                 edges = [0, *(x for s in gone for x in s), b - a]

@@ -32,7 +32,7 @@ def quantized(embeddings: DataFrame) -> DataFrame:
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long"))
     rows = embeddings.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).where(sound)
-    return rows.select("vec_id", whole.alias("vector")).distinct().withColumn("dim", F.size("vector"))
+    return rows.select(F.col("vec_id").cast("long"), whole.alias("vector")).distinct().withColumn("dim", F.size("vector"))
 
 
 def features(vectors: np.ndarray, segments: int) -> np.ndarray:
