@@ -118,7 +118,7 @@ grid as (
     s.scenario_no, s.scenario, price * s.factor as price,
     coalesce(s.promotion, promotion_intensity) as promotion_intensity,
     coalesce(s.shelf, shelf_location) as shelf_location
-  from observations o, (values (1, 'base', 1.0::double, null::double, null::varchar),
+  from (select *, row_number() over () as product_no from observations) o, (values (1, 'base', 1.0::double, null::double, null::varchar),
     (2, 'promotion', 0.9::double, 0.8::double, null), (3, 'premium', 1.2::double, null, 'Eye Level'),
     (4, 'mass_market', 0.8::double, 0.6::double, null)) s(scenario_no, scenario, factor, promotion, shelf)
 )"""
@@ -310,7 +310,6 @@ def twins() -> dict[str, str]:
         "product": "product_id nulls first, product_name nulls first, category nulls first",
         "customer": "customer_id nulls first, customer_name nulls first, segment nulls first",
     }
-    first_ten = ALL_LINE_COLUMNS.split(", ")[:10]
     scaled = ", ".join(
         steady_round(f"({c} - avg({c}) over ()) / coalesce(nullif(stddev_pop({c}) over (), 0), 1)", 6) + f" as {c}"
         for c in FORMULA_COLUMNS
@@ -360,7 +359,9 @@ def twins() -> dict[str, str]:
             count(distinct country) as country_count from cleaned"""
         ),
         "null_counts": over_cleaned(
-            "select " + ", ".join(f"count(*) filter ({c} is null) as {c}" for c in first_ten) + " from cleaned"
+            "select "
+            + ", ".join(f"count(*) filter ({c} is null) as {c}" for c in CLEANED_COLUMNS.split(", "))
+            + " from cleaned"
         ),
         "null_counts_raw": over_lines(
             "select "
@@ -521,15 +522,15 @@ def twins() -> dict[str, str]:
             {steady_round("annual_sales", 4)} as annual_sales from scores"""
         ),
         "scenario_summary": over_scores(
-            f"""select obs_key, arg_min(scenario, struct_pack(a := -annual_sales, b := scenario_no)) as best_scenario,
+            f"""select any_value(obs_key) as obs_key, arg_min(scenario, struct_pack(a := -annual_sales, b := scenario_no)) as best_scenario,
             {steady_round("max(annual_sales)", 4)} as best_annual,
             arg_min(scenario, struct_pack(a := annual_sales, b := scenario_no)) as worst_scenario,
             {steady_round("min(annual_sales)", 4)} as worst_annual,
             {steady_round("max(annual_sales) - min(annual_sales)", 4)} as annual_gap
-            from scores group by obs_key"""
+            from scores group by product_no"""
         ),
         "decision_report": over_scores(
-            f""", d as (select obs_key,
+            f""", d as (select any_value(obs_key) as obs_key,
               max(beverage_type) filter (scenario = 'base') as beverage_type,
               max(price) filter (scenario = 'base') as price, max(region) filter (scenario = 'base') as region,
               max(store_chain) filter (scenario = 'base') as store_chain,
@@ -539,7 +540,7 @@ def twins() -> dict[str, str]:
               max(annual_sales) as best_annual, min(annual_sales) as worst_annual,
               max(price) filter (scenario = 'promotion') as promotion_price,
               max(promotion_intensity) filter (scenario = 'promotion') as promotion_intensity
-              from scores group by obs_key)
+              from scores group by product_no)
             select * exclude (base_annual, best_annual, worst_annual),
               {steady_round("base_annual", 4)} as base_annual, {steady_round("best_annual", 4)} as best_annual,
               {steady_round("worst_annual", 4)} as worst_annual,

@@ -2,6 +2,8 @@ from datetime import date
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tillframe.operators import cleaning, quality
 
 NAN = float("nan")
@@ -72,6 +74,9 @@ def test_retention_of_nothing_is_null(lines_edge):
 def test_null_counts_by_type_and_position(lines_edge):
     row = quality.null_counts(lines_edge).first()
     assert row.sales == 2 and row.profit == 1 and row.order_date == 1 and row.order_id == 0
+    assert len(quality.null_counts(lines_edge).columns) == len(lines_edge.columns)
+    dotted = lines_edge.withColumn("Sub.Cat", F.lit(None).cast("string")).select("`Sub.Cat`", "sales")
+    assert quality.null_counts(dotted).first()["Sub.Cat"] == lines_edge.count()
     assert quality.null_counts(lines_edge, first=2).columns == ["order_id", "order_date"]
 
 

@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from catalog.oracle import twins as oracle_sql
+from catalog.queries import registry as queries
 from tests.compare import differences, duckdb_views
 
 ROWS_ONLY = {

@@ -145,15 +145,20 @@ def test_base_scenario_is_the_direct_score(product, model):
     scored = regression.score_products(scenarios.scenario_grid(product), model)
     base = scored.filter("scenario = 'base'").first()
     assert base.annual_sales == regression.score_products(product, model).first().annual_sales
-    report = scenarios.decision_report(scored).first()
-    summary = scenarios.scenario_summary(scored).first()
+    wide = scenarios.score_scenarios(product, lambda df: regression.score_products(df, model))
+    by_name = {r.scenario: r.annual_sales for r in scored.collect()}
+    assert {r.scenario: r.annual_sales for r in scenarios.scenario_scores(wide).collect()} == by_name
+    report = scenarios.decision_report(wide).first()
+    summary = scenarios.scenario_summary(wide).first()
     assert report.base_annual == base.annual_sales and report.promotion_intensity == 0.8
     assert report.best_annual == summary.best_annual and summary.annual_gap == summary.best_annual - summary.worst_annual
 
 
 def test_scenario_ties_take_the_earlier(spark):
-    rows = [("p", i, s, 7.0) for i, s in enumerate(scenarios.SCENARIOS, start=1)]
-    df = spark.createDataFrame(rows, "obs_key string, scenario_no int, scenario string, annual_sales double")
+    entries = [(i, s, 7.0) for i, s in enumerate(scenarios.SCENARIOS, start=1)]
+    kinds = "obs_key string, scenarios array<struct<scenario_no int, scenario string, annual_sales double>>"
+    df = spark.createDataFrame([("p", entries), ("p", entries)], kinds)
+    assert scenarios.scenario_summary(df).count() == 2  # products with equal keys stay apart
     row = scenarios.scenario_summary(df).first()
     assert (row.best_scenario, row.worst_scenario, row.annual_gap) == ("base", "base", 0.0)
 
@@ -162,5 +167,12 @@ def test_complete_forecast(rows, product):
     run = forecast_run.run(rows, product, {"random_forest": forest()}, folds=2)
     assert run.model.name == "random_forest" and run.metrics.count() == 1
     assert run.scores.count() == 1 and run.scenario_scores.count() == 4 and run.decisions.count() == 1
-    bundle = forecast_run.exploration_bundle(rows)
-    assert bundle["promotion_bins"].count() == 5
+    assert run.summary.first().best_annual >= run.summary.first().worst_annual
+    assert run.explorations["promotion_bins"].count() == 5 and run.explorations["top_region_insight"].count() == 1
+
+
+def test_null_keys_go_one_way_by_hash(spark):
+    df = spark.createDataFrame([(None,), ("",)], "obs_key string")
+    assert {r.split for r in regression.train_test_split(df).collect()} == {
+        regression.train_test_split(df.where("obs_key = ''")).first().split
+    }

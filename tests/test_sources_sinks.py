@@ -5,6 +5,7 @@ import pytest
 from tillframe.operators import cleaning, sales
 from tillframe.plans import retail_run
 from tillframe.schema import HEADINGS
+from tillframe import session
 from tillframe.sinks import writers
 from tillframe.sources import csv_lines
 from tillframe.sources.star_schema import order_lines
@@ -75,10 +76,35 @@ def test_single_file_is_one_part_and_keeps_the_order(spark, lines, tmp_path):
     assert len([f for f in os.listdir(spread) if f.endswith(".csv")]) == 3
 
 
-def test_single_file_refuses_large_frames(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(writers, "SINGLE_FILE_ROWS", 10)
-    with pytest.raises(ValueError, match="too many for a single file"):
-        writers.save(spark.range(11), str(tmp_path / "x"), single_file=True)
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_csv_keeps_every_text(spark, tmp_path, multi_line):
+    texts = ['Bin 12" wide, red', '"quoted"', "a,b", "back\\slash", "", None, " ", 'end"'] + ["two\nlines"] * multi_line
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    path = writers.save(df, str(tmp_path / "x"), "csv")
+    assert sorted(writers.load(spark, path, df, "csv", multi_line).collect()) == sorted(df.collect())
+
+
+def test_csv_with_doubled_quotes_reads_right(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Order ID,Product Name,Sales,Quantity\no1,"Bin 12"" wide, red",5.5,2\n')
+    row = csv_lines.read_order_lines(spark, str(tmp_path)).first()
+    assert (row.product_name, row.sales, row.quantity) == ('Bin 12" wide, red', 5.5, 2)
+
+
+def test_shared_folder(spark):
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Fake:
+        def __init__(self, master, given=None):
+            self.conf = Conf()
+            self.sparkContext = type("Context", (), {"master": master, "getCheckpointDir": lambda _: given})()
+
+    assert session.shared_folder(Fake("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Fake("yarn"))
+    local = Fake("local[2]")
+    assert session.shared_folder(local) == session.shared_folder(local)
 
 
 @pytest.mark.parametrize("rows", [1, 50, 4999, 5000, 6000])

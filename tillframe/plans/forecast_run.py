@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from tillframe.operators import exploration, regression, scenarios
 from tillframe.operators.encoding import fit_label_codes
-from tillframe.session import materialize, spread
+from tillframe.session import materialize
 
 
 @dataclass(frozen=True)
@@ -21,7 +21,9 @@ class ForecastRun:
     importance: DataFrame
     scores: DataFrame
     scenario_scores: DataFrame
+    summary: DataFrame
     decisions: DataFrame
+    explorations: dict[str, DataFrame]
 
 
 def exploration_bundle(observations: DataFrame) -> dict[str, DataFrame]:
@@ -35,6 +37,8 @@ def exploration_bundle(observations: DataFrame) -> dict[str, DataFrame]:
         "income_bins": exploration.income_bins(observations),
         "shelf_lift": exploration.shelf_lift(observations),
         "price_sales_corr": exploration.price_sales_corr(observations),
+        "top_region_insight": exploration.top_region_insight(observations),
+        "top_beverage_insight": exploration.top_beverage_insight(observations),
     }
 
 
@@ -50,16 +54,18 @@ def run(
     The observations are written once, as training reads them many times; the
     products are scored under all scenarios in one pass.
     """
-    table = spread(materialize(observations, "observations"), regression.KEY)
+    table = materialize(observations, "observations")
     codes = fit_label_codes(table)
     rows = regression.model_table(table, codes, include_target_ratio, folds)
     model, metrics = regression.model_selection(estimators or regression.default_estimators(), rows)
-    scored = regression.score_products(scenarios.scenario_grid(products), model)
+    scored = scenarios.score_scenarios(products, lambda df: regression.score_products(df, model))
     return ForecastRun(
         model=model,
         metrics=metrics,
         importance=regression.feature_importance(model),
         scores=regression.score_products(products, model),
-        scenario_scores=scored,
+        scenario_scores=scenarios.scenario_scores(scored),
+        summary=scenarios.scenario_summary(scored),
+        explorations=exploration_bundle(table),
         decisions=scenarios.decision_report(scored),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from tillframe.operators import cleaning, kpi, quality, sales
@@ -74,13 +75,14 @@ def save_bundle(
             saved[f"{name}/parquet"] = lines_parquet or writers.save(df, result_path(base, stem, "parquet"), "parquet")
         saved[f"{name}/csv"] = writers.save(df, result_path(base, stem, "csv"), "csv")
         if samples:
-            stored = writers.load(df.sparkSession, saved[f"{name}/csv"], df, "csv")
+            kind = "parquet" if name == CLEANED else "csv"  # not parsed once more
+            stored = writers.load(df.sparkSession, saved[f"{name}/{kind}"], df, kind)
             saved[f"{name}/sample"] = writers.sample_export(stored, result_path(base, stem, "sample"), cap)
         return saved
 
     present = {name: df for name, df in results.items() if df is not None}
     with ThreadPool(SAVES_AT_ONCE) as pool:
-        parts = pool.starmap(save_one, present.items())
+        parts = pool.starmap(inheritable_thread_target(save_one), present.items())
     return {path_name: path for part in parts for path_name, path in part.items()}
 
 

@@ -9,17 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "tillframe", master: str | None = None, **conf: str) -> SparkSession:
-    """Get or create a session with adaptive execution on.
+    """Get or create a session.
 
     ``conf`` takes Spark settings with dots written as double underscores,
     e.g. ``spark__sql__shuffle__partitions="8"``.
     """
-    builder = (
-        SparkSession.builder.appName(app_name)
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-    )
+    builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -28,18 +23,26 @@ def build_session(app_name: str = "tillframe", master: str | None = None, **conf
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
 
-    Only where the session names none (a bare local session) is a temporary
-    folder made, and then remembered in the session.
+    Only a local session without either gets a temporary folder, which it then
+    remembers; on a cluster that would be another folder on each machine, so
+    it is an error there.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tillframe.work.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _checkpoint_folder(spark)
+    folder = folder or spark.conf.get("tillframe.work.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tillframe-")
         spark.conf.set("tillframe.work.dir", folder)
     return folder.rstrip("/")
 
 
+def _checkpoint_folder(spark: SparkSession) -> str | None:
+    return spark.sparkContext.getCheckpointDir()
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark)}/tillframe/{label}-{uuid.uuid4().hex}"
@@ -47,7 +50,7 @@ def work_path(spark: SparkSession, label: str) -> str:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Iterative trainers checkpoint their state; give them a folder if the session has none."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    if not _checkpoint_folder(spark):
         spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
 
 
@@ -66,13 +69,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def scan_bytes(*scans: DataFrame) -> int:
     """Stored size of plain table scans, as Spark's statistics state it."""
     return sum(int(str(s._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for s in scans)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartition, by a fine-grained key, a file scan that has fewer splits than the cluster has cores.
-
-    Such a scan is small (under one split per core), so the shuffle is cheap;
-    larger scans are returned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

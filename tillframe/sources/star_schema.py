@@ -20,7 +20,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillframe.session import scan_bytes, spread
+from tillframe.session import scan_bytes
 
 # Stored bytes of a dimension's tables up to which it is broadcast.
 BROADCAST_BYTES = 10 * 1024 * 1024
@@ -153,7 +153,7 @@ def observations(spark: SparkSession, folder: str, columns: Iterable[str] | None
 
 
 def _fact_table(spark: SparkSession, folder: str, needs: set[str], with_counts: bool) -> DataFrame:
-    facts = spread(_table(spark, folder, "lineitem"), "l_orderkey")
+    facts = _table(spark, folder, "lineitem")
     if "orders" in needs:
         orders, scans = _table(spark, folder, "orders"), ["orders"]
         if "customer" in needs:
