@@ -94,7 +94,10 @@ def best_of_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarra
                         bound = np.einsum("ij,ij->i", q_level[a:b][q], x_level[c:d][x])
                     alive = bound + slack >= floor[q]
                     q, x = q[alive], x[alive]
-            s = scores(q + a, x + c)
+            if exact and len(q) > 0.05 * (b - a) * (d - c):  # one product takes less memory than so many pairs of rows
+                s = (q_all[a:b] @ x_all[c:d].T)[q, x].astype(np.int64)
+            else:
+                s = scores(q + a, x + c)
             keep = s >= floor[q]
             q, x, s = q[keep], x[keep] + c, s[keep]
             other = (query_ids[q + a] != ids[x]) | (queries[q + a] != vectors[x]).any(axis=1)
