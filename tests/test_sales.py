@@ -92,3 +92,12 @@ def test_one_hot_key_keeps_every_row(spark, lines):
 )
 def test_top_lists_use_a_bounded_heap(lines, operator):
     assert "TakeOrderedAndProject" in physical_plan(operator(lines))
+
+
+def test_nan_wins_nothing_and_bins_count_known_sales(spark):
+    lines = spark.createDataFrame([("A", float("nan")), ("B", 1.0)], "region string, profit double")
+    from tillframe.operators import exploration, kpi
+
+    assert kpi.best_region(lines).first().region == "B"
+    shops = spark.createDataFrame([(0.0, 1.0), (0.0, None), (1.0, 2.0)], "promotion_intensity double, monthly_sales double")
+    assert exploration.promotion_bins(shops, 2).orderBy("bin_index").first().row_count == 1
