@@ -57,8 +57,8 @@ def steady_round(x: str, digits: int) -> str:
 
 
 def exact_sum(x: str) -> str:
-    """Sum in decimals, as the double nearest to it."""
-    return f"cast(cast(sum(cast({x} as decimal(28, 6))) as varchar) as double)"
+    """Compensated sum of doubles; amounts have four places, so its last bits are rounded away there."""
+    return f"cast(cast(cast(fsum({x}) as decimal(28, 4)) as varchar) as double)"
 
 
 def total(x: str) -> str:
@@ -207,6 +207,14 @@ PLAIN_OBSERVATIONS = (
 SPLIT = "('0x' || substr(md5(obs_key), 1, 8))::bigint % 100 < 80"
 FOLD = "cast(('0x' || substr(md5('fold' || obs_key), 1, 8))::bigint % 5 as int)"
 
+FEATURES = (
+    "population_density, median_income, store_size, weekly_foot_traffic, price, promotion_intensity, "
+    "competitor_count, market_share, region_encoded, store_chain_encoded, beverage_type_encoded, "
+    "shelf_location_encoded, price_promotion_interaction, income_population_interaction, traffic_market_share, "
+    "sales_per_sqft"
+).split(", ")
+MODELS = "from (values ('random_forest'), ('gradient_boosting')) v(model)"
+
 SUMMARY = {
     "count": "cast(count({c}) as double)",
     "mean": "avg({c})",
@@ -283,12 +291,56 @@ def bundle_counts() -> str:
         "shipping_analysis/csv": groups("ship_mode"),
         "shipping_sales_corr/csv": "1",
         "shipping_cost_summary/csv": "1",
+        "kpi_summary/csv": "1",
+        "kpi_shipping_total/csv": "1",
+        "best_region/csv": "1",
+        "best_market/csv": "1",
+        "best_category/csv": "1",
+        "avg_customer_value/csv": "1",
+        "preview/csv": f"least(5, {lines})",
+        "source_profile/csv": f"{len(LINE_TYPES)}",
+        "cleaning_retention/csv": "1",
     }
+    reports = [n.removesuffix("/csv") for n in counts if not n.startswith("cleaned_data")]
+    counts |= {f"{n}/sample": f"least(50000, {counts[f'{n}/csv']})" for n in reports}
     return over_cleaned(
         " union all ".join(f"select '{n}' as name, cast({c} as bigint) as row_count" for n, c in counts.items())
     )
 
 
+def forecast_counts() -> str:
+    """Rows of every frame of the forecast: per model, feature, product, scenario, and of the explorations."""
+    rows = "(select count(*) from observations)"
+    counts = {
+        "metrics": "2",
+        "importance": f"{len(FEATURES)}",
+        "scores": rows,
+        "scenario_scores": f"4 * {rows}",
+        "summary": rows,
+        "decisions": rows,
+        "region_mean_sales": "(select count(distinct region) from observations)",
+        "price_sales_points": rows,
+        "promotion_bins": "5",
+        "beverage_mean_sales": "(select count(distinct beverage_type) from observations)",
+        "shelf_mean_sales": "(select count(distinct shelf_location) from observations)",
+        "income_bins": "5",
+        "shelf_lift": "1",
+        "price_sales_corr": "1",
+        "top_region_insight": "1",
+        "top_beverage_insight": "1",
+    }
+    return over_observations(
+        " union all ".join(f"select '{n}' as name, cast({c} as bigint) as row_count" for n, c in counts.items())
+    )
+
+
+def held_out_rows() -> str:
+    return over_observations(
+        f"""select obs_key, monthly_sales, true as is_predicted, true as beats_mean from observations
+        where not ({SPLIT})"""
+    )
+
+
 def source_profile() -> str:
     rows = ", ".join(f"({i}, '{name}', '{kind}')" for i, (name, kind) in enumerate(LINE_TYPES, start=1))
     return over_lines(
@@ -331,7 +383,15 @@ def twins() -> dict[str, str]:
         "sink_parquet": all_cleaned,
         "sink_json": all_cleaned,
         "save_bundle": bundle_counts(),
-        "sample_export": over_cleaned("select least(100000, count(*)) as rows_saved from cleaned"),
+        "sink_single_file": over_cleaned(
+            "select cast(1 as bigint) as file_count, count(distinct year_month) as row_count from cleaned"
+        ),
+        "sample_export": over_cleaned(
+            """select cap, least(cap, n) as rows_saved
+            from (values (100000), (1000)) c(cap), (select count(*) as n from cleaned)"""
+        ),
+        "output_manifest": "select f as file_format, true as has_files, true as has_bytes "
+        "from (values ('csv'), ('parquet'), ('json')) v(f)",
         "kpi_report_rows": kpi_report(),
         # filters and projections
         "clean_filter": over_lines(f"select {ALL_LINE_COLUMNS} from lines where {VALID}"),
@@ -514,7 +574,18 @@ def twins() -> dict[str, str]:
             {steady_round("sqrt(avg((y - q) * (y - q)))", 4)} as rmse,
             {steady_round("1 - sum((y - q) * (y - q)) / (var_pop(y) * count(y))", 6)} as r2 from p"""
         ),
+        "train_random_forest": held_out_rows(),
+        "train_gradient_boosting": held_out_rows(),
+        "cross_validation": f"select model, true as beats_mean, true as has_spread {MODELS}",
+        "model_selection": f"select model, true as beats_mean, true as best_is_highest {MODELS}",
+        "feature_importance": "select unnest(["
+        + ", ".join(f"'{f}'" for f in FEATURES)
+        + "]) as feature, true as sums_to_one",
+        "score_products": over_observations("select obs_key, true as annual_is_twelvefold from observations"),
+        "forecast_run": forecast_counts(),
         # scenarios
+        "scenario_scores": f"with {OBSERVATIONS}, {GRID} "
+        "select obs_key, scenario, true as annual_is_twelvefold from grid",
         "scenario_grid": f"with {OBSERVATIONS}, {GRID} "
         "select obs_key, scenario_no, scenario, price, promotion_intensity, shelf_location from grid",
         "scenario_formula_scores": over_scores(

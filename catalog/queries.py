@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tillframe.operators import cleaning, exploration, features, kpi, quality, regression, sales, scenarios
 from tillframe.operators.encoding import CATEGORICAL, fit_label_codes, label_encode
-from tillframe.plans import retail_run
+from tillframe.plans import forecast_run, retail_run
 from tillframe.schema import HEADINGS
 from tillframe.session import materialize, work_path
 from tillframe.sinks import writers
@@ -27,6 +27,7 @@ PRODUCT_COLUMNS = (*FORMULA_INPUTS, "obs_key", "region", "store_chain", "beverag
 FOREST = {"trees": 100, "depth": 5, "bins": 64}
 BOOSTING = {"stages": 100, "depth": 3, "bins": 64}
 QUERY_FOLDS = regression.FOLDS
+LOW_CAP = 1000
 
 
 def steady(column: Column | str, digits: int) -> Column:
@@ -107,7 +108,8 @@ def sink_single_file(spark: SparkSession, folder: str) -> DataFrame:
     months = sales.monthly_sales(cleaned(spark, folder, "order_id", "order_date"))
     path = writers.save(months, work_path(spark, "single-file"), "csv", single_file=True)
     saved = writers.load(spark, path, months, "csv")
-    return saved.groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count(F.lit(1)).alias("row_count"))
+    files = F.count_distinct("_metadata.file_name").alias("file_count")
+    return saved.agg(files, F.count(F.lit(1)).alias("row_count"))
 
 
 def save_bundle(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,14 +120,18 @@ def save_bundle(spark: SparkSession, folder: str) -> DataFrame:
         reader = spark.read.option("header", True)
         saved = reader.parquet(path) if name.endswith("/parquet") else reader.csv(path)
         counts.append(saved.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("row_count")))
-    kept = [c for (n, _), c in zip(run.saved.items(), counts, strict=True) if "sample" not in n or n.startswith("cl")]
-    return reduce(DataFrame.unionByName, kept)
+    return reduce(DataFrame.unionByName, counts)
 
 
 def sample_export(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows saved under the usual cap, and under one that the tables exceed."""
     lines = cleaned(spark, folder)
-    path = writers.sample_export(lines, work_path(spark, "sample"), writers.LINES_SAMPLE_ROWS)
-    return writers.load(spark, path, lines, "csv").agg(F.count(F.lit(1)).alias("rows_saved"))
+    saved = []
+    for cap in (writers.LINES_SAMPLE_ROWS, LOW_CAP):
+        path = writers.sample_export(lines, work_path(spark, "sample"), cap)
+        counted = writers.load(spark, path, lines, "csv").agg(F.count(F.lit(1)).alias("rows_saved"))
+        saved.append(counted.select(F.lit(cap).alias("cap"), "rows_saved"))
+    return reduce(DataFrame.unionByName, saved)
 
 
 def output_manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,7 +139,9 @@ def output_manifest(spark: SparkSession, folder: str) -> DataFrame:
     lines = cleaned(spark, folder)
     for file_format in writers.FORMATS:
         writers.save(lines, retail_run.result_path(base, "lines", file_format), file_format)
-    return writers.output_manifest(spark, base)
+    files = writers.output_manifest(spark, base)
+    file_format = F.element_at(F.split("path", "/"), -3).alias("file_format")
+    return files.groupBy(file_format).agg((F.count("file_name") > 0).alias("has_files"), (F.sum("bytes") > 0).alias("has_bytes"))
 
 
 # filters and projections
@@ -178,17 +186,17 @@ def null_counts_raw(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, folder: str) -> DataFrame:
-    rows = observations(spark, folder, ("obs_key", *CATEGORICAL))
+    rows = materialize(observations(spark, folder, ("obs_key", *CATEGORICAL)), "observations")
     return label_encode(rows, fit_label_codes(rows))
 
 
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:
-    table = features.feature_table(observations(spark, folder))
+    table = features.feature_table(materialize(observations(spark, folder), "observations"))
     return steadied(table, 6, *[f"log_{c}" for c in features.LOGGED])
 
 
 def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return features.feature_matrix(features.feature_table(observations(spark, folder)))
+    return features.feature_matrix(features.feature_table(materialize(observations(spark, folder), "observations")))
 
 
 def interactions(spark: SparkSession, folder: str) -> DataFrame:
@@ -247,10 +255,14 @@ def estimators() -> dict:
 
 
 def trained(name: str) -> Query:
-    """Held-out predictions of one model."""
+    """The held-out rows, whether each has a prediction, and whether the error is below that of the mean."""
 
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return regression.predict_test(fitted(spark, folder, name), training_table(spark, folder))
+        predicted = regression.predict_test(fitted(spark, folder, name), training_table(spark, folder))
+        beats = regression.regression_metrics(predicted).select(F.col("r2") > 0).scalar()
+        return predicted.select(
+            "obs_key", "monthly_sales", F.isnotnull("prediction").alias("is_predicted"), beats.alias("beats_mean")
+        )
 
     return query
 
@@ -262,17 +274,41 @@ def fitted(spark: SparkSession, folder: str, name: str) -> regression.SalesModel
 
 
 @cache
-def selected(spark: SparkSession, folder: str) -> DataFrame:
-    return regression.model_selection(estimators(), training_table(spark, folder))[1]
+def forecast(spark: SparkSession, folder: str) -> forecast_run.ForecastRun:
+    """The complete forecast, with every observation as a product too; run once for a session and folder."""
+    rows = observations(spark, folder)
+    return forecast_run.run(rows, rows.drop("monthly_sales"), estimators(), folds=QUERY_FOLDS)
+
+
+def forecast_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of every frame of the complete forecast."""
+    run = forecast(spark, folder)
+    frames = {
+        "metrics": run.metrics,
+        "importance": run.importance,
+        "scores": run.scores,
+        "scenario_scores": run.scenario_scores,
+        "summary": run.summary,
+        "decisions": run.decisions,
+        **run.explorations,
+    }
+    counts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("row_count")) for name, df in frames.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def cross_validation(spark: SparkSession, folder: str) -> DataFrame:
-    """R² over the folds for both models; they are cross-validated as part of the selection."""
-    return selected(spark, folder).select("model", "cv_mean", "cv_std")
+    """What holds of R² over the folds, for both models; they are cross-validated as part of the selection."""
+    metrics = forecast(spark, folder).metrics
+    return metrics.select("model", (F.col("cv_mean") > 0).alias("beats_mean"), (F.col("cv_std") >= 0).alias("has_spread"))
 
 
 def model_selection(spark: SparkSession, folder: str) -> DataFrame:
-    return selected(spark, folder)
+    """Whether each model beats the mean, and whether the chosen one is that with the highest R²."""
+    metrics = forecast(spark, folder).metrics
+    highest = F.col("r2") == metrics.select(F.max("r2")).scalar()
+    return metrics.select(
+        "model", (F.col("r2") > 0).alias("beats_mean"), (F.col("is_best") == highest).alias("best_is_highest")
+    )
 
 
 def fitted_forest(spark: SparkSession, folder: str) -> regression.SalesModel:
@@ -280,13 +316,19 @@ def fitted_forest(spark: SparkSession, folder: str) -> regression.SalesModel:
 
 
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
-    return regression.feature_importance(fitted_forest(spark, folder), top=10)
+    ranked = regression.feature_importance(fitted_forest(spark, folder))
+    whole = ranked.select(F.abs(F.sum("importance") - 1) < 1e-9).scalar()
+    return ranked.select("feature", whole.alias("sums_to_one"))
+
+
+def is_twelvefold() -> Column:
+    return (F.col("annual_sales") == F.col("monthly_sales") * 12).alias("annual_is_twelvefold")
 
 
 def score_products(spark: SparkSession, folder: str) -> DataFrame:
     """Every observation taken as a candidate product."""
     scored = regression.score_products(observations(spark, folder), fitted_forest(spark, folder))
-    return scored.select("obs_key", "monthly_sales", "annual_sales")
+    return scored.select("obs_key", is_twelvefold())
 
 
 # scenarios
@@ -300,7 +342,7 @@ def grid(spark: SparkSession, folder: str) -> DataFrame:
 def scenario_scores(spark: SparkSession, folder: str) -> DataFrame:
     candidates = scenarios.scenario_grid(observations(spark, folder))
     scored = regression.score_products(candidates, fitted_forest(spark, folder))
-    return scored.select("obs_key", "scenario", "monthly_sales", "annual_sales")
+    return scored.select("obs_key", "scenario", is_twelvefold())
 
 
 def formula_scores(spark: SparkSession, folder: str, columns: tuple[str, ...]) -> DataFrame:
@@ -407,6 +449,7 @@ def registry() -> dict[str, Query]:
         "model_selection": model_selection,
         "feature_importance": feature_importance,
         "score_products": score_products,
+        "forecast_run": forecast_rows,
         "scenario_grid": grid,
         "scenario_scores": scenario_scores,
         "scenario_formula_scores": scenario_formula_scores,

@@ -74,23 +74,52 @@ def test_standardize_other_rows_with_fitted_parameters(spark):
 LABELS = "region string, shelf_location string"
 
 
-@pytest.mark.parametrize("small_limit", [encoding.SMALL_LABEL_COUNT, 0])
-def test_codes_are_sorted_and_missing_comes_last(spark, small_limit):
-    """With a limit of 0 the ranks come from the distributed sort and the codes from shuffle joins."""
+@pytest.fixture(params=["10MB", "-1"])
+def broadcast_limit(spark, request):
+    """Codes are joined by broadcasts, or by shuffles."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield request.param
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_codes_are_sorted_and_missing_comes_last(spark, broadcast_limit):
     df = spark.createDataFrame([("b", "x"), ("a", "y"), (None, "x"), ("c", "y"), ("a", "x")], LABELS)
-    codes = encoding.fit_label_codes(df, ("region", "shelf_location"), small_limit)
-    assert codes.size == 6 and codes.is_small == (small_limit > 0)
+    codes = encoding.fit_label_codes(df, ("region", "shelf_location"))
+    assert [codes.tables[c].count() for c in ("region", "shelf_location")] == [4, 2]
+    plan = encoding.label_encode(df, codes)._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == (broadcast_limit != "-1")
     got = {(r.region, r.shelf_location, r.region_encoded, r.shelf_location_encoded) for r in
            encoding.label_encode(df, codes).collect()}
     assert got == {("b", "x", 1, 0), ("a", "y", 0, 1), (None, "x", 3, 0), ("c", "y", 2, 1), ("a", "x", 0, 0)}
 
 
-def test_both_rankings_agree_on_many_labels(spark):
-    df = spark.range(5000).selectExpr("concat('label ', id % 1237) as region")
-    small = encoding.fit_label_codes(df, ("region",))
-    large = encoding.fit_label_codes(df, ("region",), 0)
-    assert small.size == large.size == 1237
-    assert small.table.exceptAll(large.table.select(*small.table.columns)).count() == 0
+def test_many_labels_are_ranked_over_several_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(5000).selectExpr("if(id % 1237 = 5, null, concat('label ', id % 1237)) as region", "'x' as shelf")
+        codes = encoding.fit_label_codes(df, ("region", "shelf"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    labels = sorted(f"label {i}" for i in range(1237) if i != 5) + [None]
+    assert {r.label: r.code for r in codes.tables["region"].collect()} == {x: i for i, x in enumerate(labels)}
+    assert [tuple(r) for r in codes.tables["shelf"].collect()] == [("x", 0)]
+
+
+def test_each_column_is_joined_by_its_own_size(spark):
+    df = spark.range(20000).selectExpr("concat('some label ', id) as region", "concat('x', id % 2) as shelf")
+    codes = encoding.fit_label_codes(df, ("region", "shelf"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20KB")
+    try:
+        plan = encoding.label_encode(df, codes)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 1
+
+
+def test_labels_of_no_rows(spark):
+    df = spark.createDataFrame([], LABELS)
+    codes = encoding.fit_label_codes(df, ("region", "shelf_location"))
+    assert encoding.label_encode(df, codes).count() == 0
 
 
 def test_unseen_label_raises(spark):

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tillframe.functions.measures import average, exact_sum, total
+from tillframe.functions.measures import average, exact_sum, margin_pct, total
 
 INF = float("inf")
 
@@ -41,6 +41,22 @@ def test_not_finite_and_huge(spark):
     assert summed(spark, [1e300, 1e300]) == pytest.approx(2e300)
 
 
+def test_tiny_values_count(spark):
+    assert summed(spark, [1e-7] * 4) == 4e-7
+    tiny = spark.createDataFrame([(4e-7, 2e-7)], "sales double, profit double")
+    assert tiny.agg(margin_pct()).first()[0] == 50.0
+
+
+def test_large_sums_do_not_depend_on_the_order(spark):
+    random.seed(2)
+    values = [random.uniform(1e13, 9e13) for _ in range(5000)]
+    sums = set()
+    for _ in range(3):
+        random.shuffle(values)
+        sums.add(summed(spark, values))
+    assert len(sums) == 1 and sums.pop() == pytest.approx(math.fsum(values), rel=1e-15)
+
+
 def test_negative_and_small(spark):
     assert summed(spark, [-0.1] * 10) == -1.0
     assert summed(spark, [0.1, 0.2]) == 0.3

@@ -86,13 +86,6 @@ def test_forest_beats_the_mean_and_repeats(model, table):
     assert regression.regression_metrics(regression.predict_test(again, table)).first() == first
 
 
-def test_large_label_sets_train_alike(rows, table, model):
-    codes = fit_label_codes(rows, small_limit=0)
-    other = regression.model_table(rows, codes)
-    assert other.rows.drop("features").exceptAll(table.rows.drop("features")).count() == 0
-    assert other.rows.count() == table.rows.count()
-
-
 def test_importances_sum_to_one(model):
     ranked = regression.feature_importance(model).collect()
     assert len(ranked) == 16

@@ -115,6 +115,10 @@ def test_samples_are_exactly_capped(spark, rows):
     assert sample.distinct().count() == min(rows, 5000)
 
 
+def differing(a, b):
+    return a.exceptAll(b).count() + b.exceptAll(a).count()
+
+
 def test_complete_run_from_csv(spark, lines, folder, tmp_path):
     raw = order_lines(spark, folder).drop("market", "weeknum")
     source = str(tmp_path / "source")
@@ -125,11 +129,15 @@ def test_complete_run_from_csv(spark, lines, folder, tmp_path):
     assert not any("market" in name or "weekly" in name for name in run.saved)
     assert spark.read.parquet(run.saved["cleaned_data/parquet"]).count() == lines.count()
     assert spark.read.option("header", True).csv(run.saved["cleaned_data/csv"]).count() == lines.count()
-    region = spark.read.option("header", True).csv(run.saved["regional_analysis/csv"])
-    assert region.count() == sales.region_performance(lines).count()
+    for name, df in run.results.items():
+        if f"{name}/csv" in run.saved:
+            assert differing(writers.load(spark, run.saved[f"{name}/csv"], df, "csv"), df) == 0, name
+    assert differing(run.results["regional_analysis"], sales.region_performance(lines)) == 0
+    assert run.results["cleaning_retention"].first().rows_before == raw.count()
+    assert run.results["source_profile"].count() == len(raw.columns) and run.results["preview"].count() == 5
     text = [r.value for r in spark.read.text(f"{base}/analysis_report").collect()]
     assert text[0].startswith("total_transactions: ") and text[-1] == "analysed_at: 2024-01-02 03:04:05"
-    names = {r.path.split("/")[-2] for r in writers.output_manifest(spark, base).collect()}
+    names = {r.path.split("/")[-2] for r in run.manifest.collect()}
     assert {"cleaned_data", "analysis_regional_analysis", "analysis_report"} <= names
 
 

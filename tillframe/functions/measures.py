@@ -11,15 +11,14 @@ def exact_sum(column: str | Column) -> Column:
 
     A plain sum of doubles changes in its last bits with the partitioning, and
     amounts in fractions of a cent often sum to exactly half a cent, where
-    those bits decide the rounding. Sums of whole numbers are exact, so whole
-    and fractional parts are summed apart, and the small fractional sum is
-    rounded to a millionth, which takes its noise away. Infinite and NaN
-    values give what a plain sum gives.
+    those bits decide the rounding. So each value is summed as a decimal with
+    ten places. Where a value does not fit (NaN, infinite, from 1e18) or the
+    sum does not, the result is the plain sum.
     """
     value = (F.col(column) if isinstance(column, str) else column).cast("double")
-    whole, rest = F.sum(F.rint(value)), F.sum(value - F.rint(value))
-    joined = whole.try_cast("decimal(32,6)") + F.round(rest, 6).try_cast("decimal(32,6)")
-    return F.coalesce(joined.cast("double"), F.when(F.isnan(rest), whole).otherwise(whole + rest))
+    exact = value.try_cast("decimal(28,10)")
+    summed = F.when(F.count(exact) == F.count(value), F.try_sum(exact).cast("double"))
+    return F.coalesce(summed, F.sum(value))
 
 
 def exact_avg(column: str | Column) -> Column:

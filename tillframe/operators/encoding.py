@@ -1,8 +1,9 @@
-"""Sorted integer codes for categorical columns, as a table that is fitted once and joined in."""
+"""Sorted integer codes for categorical columns, as tables that are fitted once and joined in."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,70 +12,54 @@ from tillframe.session import materialize
 
 # The encoded columns of a store observation.
 CATEGORICAL = ("region", "store_chain", "beverage_type", "shelf_location")
-# Most labels that are ranked in one task and broadcast; more are ranked and joined by shuffles.
-SMALL_LABEL_COUNT = 50_000
 
 
 @dataclass(frozen=True)
 class LabelCodes:
-    """Codes of every label: a (column_name, label, code) table and its row count."""
+    """A stored (label, code) table for each column, whose own size decides how it is joined."""
 
-    table: DataFrame
-    size: int
-    columns: tuple[str, ...]
-    small_limit: int = SMALL_LABEL_COUNT
+    tables: dict[str, DataFrame]
 
-    @property
-    def is_small(self) -> bool:
-        """Whether the counted labels are few enough to broadcast."""
-        return self.size <= self.small_limit
 
-
-def fit_label_codes(
-    df: DataFrame, columns: tuple[str, ...] = CATEGORICAL, small_limit: int = SMALL_LABEL_COUNT
-) -> LabelCodes:
+def fit_label_codes(df: DataFrame, columns: tuple[str, ...] = CATEGORICAL) -> LabelCodes:
     """Number the distinct labels of each column from 0 in sort order; a missing label comes last.
 
-    One pass finds the labels of all columns. They are written to the shared
-    folder, which gives their exact number.
+    ``df`` is read once a column, with that column only: pass a written table where joins stand behind it.
     """
-    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("label")) for c in columns]
-    found = materialize(df.select(F.inline(F.array(*pairs))).distinct(), "labels")
-    size = found.count()
-    ranked = _rank_in_window(found) if size <= small_limit else _rank_sorted(found)
-    return LabelCodes(materialize(ranked, "label-codes"), size, columns, small_limit)
+    labels = [df.select(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("label")).distinct() for c in columns]
+    ranked = _ranked(reduce(DataFrame.union, labels))
+    return LabelCodes(
+        {c: materialize(ranked.filter(F.col("column_name") == c).select("label", "code"), "label-codes") for c in columns}
+    )
 
 
 def label_encode(df: DataFrame, codes: LabelCodes) -> DataFrame:
-    """Add ``<column>_encoded`` for each fitted column; a label unknown to ``codes`` raises."""
-    for column in codes.columns:
+    """Add ``<column>_encoded`` for each fitted column; a label unknown to ``codes`` raises.
+
+    Spark broadcasts the codes of a column if their files are small, and shuffles both sides otherwise.
+    """
+    for column, table in codes.tables.items():
         label, code = f"_{column}_label", f"{column}_encoded"
-        lookup = codes.table.filter(F.col("column_name") == column).select(
-            F.col("label").alias(label), F.col("code").alias(code)
-        )
-        if codes.is_small:
-            lookup = F.broadcast(lookup)
-        shown = F.coalesce(F.col(column), F.lit("NULL"))
+        lookup = table.toDF(label, code)
+        shown = F.coalesce(F.col(f"`{column}`"), F.lit("NULL"))
         unseen = F.raise_error(F.concat(F.lit(f"unseen label in {column}: "), shown)).cast("int")
         df = (
-            df.join(lookup, F.col(column).eqNullSafe(F.col(label)), "left")
-            .withColumn(code, F.when(F.col(code).isNull(), unseen).otherwise(F.col(code)))
+            df.join(lookup, F.col(f"`{column}`").eqNullSafe(F.col(f"`{label}`")), "left")
+            .withColumn(code, F.when(F.col(f"`{code}`").isNull(), unseen).otherwise(F.col(f"`{code}`")))
             .drop(label)
         )
     return df
 
 
-def _rank_in_window(labels: DataFrame) -> DataFrame:
-    order = Window.partitionBy("column_name").orderBy(F.asc_nulls_last("label"))
-    return labels.withColumn("code", F.row_number().over(order) - 1)
-
-
-def _rank_sorted(labels: DataFrame) -> DataFrame:
-    """Ranks from a distributed sort: global positions, less the first position of the column."""
-    ordered = labels.orderBy("column_name", F.asc_nulls_last("label"))
-    positions = ordered.rdd.zipWithIndex().map(lambda pair: (pair[0][0], pair[0][1], pair[1]))
-    numbered = labels.sparkSession.createDataFrame(positions, "column_name string, label string, position bigint")
-    starts = numbered.groupBy("column_name").agg(F.min("position").alias("start"))
-    return numbered.join(starts, "column_name").select(
-        "column_name", "label", (F.col("position") - F.col("start")).cast("int").alias("code")
+def _ranked(labels: DataFrame) -> DataFrame:
+    """Ranks of distinct labels: the place in a sorted range, plus the labels in the ranges before it."""
+    order = F.asc_nulls_last("label")
+    ranges = labels.repartitionByRange("column_name", order).withColumn("part", F.spark_partition_id())
+    placed = materialize(ranges, "labels")  # written, as a range has its number only here
+    before = Window.partitionBy("column_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("column_name", "part").agg(F.count(F.lit(1)).alias("n"))
+    starts = starts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy("column_name", "part").orderBy(order)) - 1
+    return placed.withColumn("place", place).join(starts, ["column_name", "part"]).select(
+        "column_name", "label", (F.col("place") + F.col("start")).cast("int").alias("code")
     )

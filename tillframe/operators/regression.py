@@ -106,19 +106,15 @@ def model_table(
 ) -> ModelTable:
     """Split, scale and assemble observations for training.
 
-    Training makes a few passes over the rows before it keeps its own binned
-    copy. With broadcast codes each pass is one scan of ``observations``, so
-    pass a written table; with codes that need shuffles the assembled rows are
-    written once instead.
+    Training makes several passes over the rows before it keeps its own binned
+    copy, so the assembled rows are written once.
     """
     names = feature_names(include_target_ratio)
     parts = with_folds(train_test_split(observations), folds=folds)
     scaler = _fixed(scaler_params(parts.filter(F.col("split") == "train")))
     featured = ratio_features(interaction_features(label_encode(parts, codes)))
     rows = _assemble(featured, scaler, names).select(KEY, TARGET, "features", "split", "fold")
-    if not codes.is_small:
-        rows = materialize(rows, "model-table")
-    return ModelTable(rows, scaler, codes, names, folds)
+    return ModelTable(materialize(rows, "model-table"), scaler, codes, names, folds)
 
 
 def fit_model(name: str, estimator: Estimator, table: ModelTable) -> SalesModel:

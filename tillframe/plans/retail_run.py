@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillframe.operators import cleaning, kpi, quality, sales
 from tillframe.sinks import writers
-from tillframe.sources.csv_lines import read_order_lines
+from tillframe.sources.csv_lines import preview, read_order_lines, source_profile
 
 CLEANED = "cleaned_data"
 SAVES_AT_ONCE = 4
@@ -18,16 +18,18 @@ SAVES_AT_ONCE = 4
 
 @dataclass(frozen=True)
 class RetailRun:
-    """Where a run was saved, its results (None for reports whose columns are absent), and its KPI report."""
+    """Where a run was saved, its results (None for reports whose columns are absent), KPI report and list of files."""
 
     base: str
     saved: dict[str, str]
     results: dict[str, DataFrame | None]
     report: DataFrame
+    manifest: DataFrame
 
 
 def report_bundle(lines: DataFrame) -> dict[str, DataFrame | None]:
     """Every report over cleaned lines, by name; lazy."""
+    # The names of the saved results, up to the shipping analysis.
     return {
         CLEANED: lines,
         "quality_overview": quality.quality_overview(lines),
@@ -48,9 +50,21 @@ def report_bundle(lines: DataFrame) -> dict[str, DataFrame | None]:
         "shipping_analysis": sales.shipping_mode_performance(lines),
         "shipping_sales_corr": sales.shipping_sales_corr(lines),
         "shipping_cost_summary": sales.shipping_cost_summary(lines),
+        "kpi_summary": kpi.kpi_summary(lines),
+        "kpi_shipping_total": kpi.kpi_shipping_total(lines),
+        "best_region": kpi.best_region(lines),
+        "best_market": kpi.best_market(lines),
+        "best_category": kpi.best_category(lines),
+        "avg_customer_value": kpi.avg_customer_value(lines),
+        "preview": preview(lines),
     }
 
 
+def source_bundle(raw: DataFrame) -> dict[str, DataFrame | None]:
+    """What is reported of the lines as they came, by name; lazy."""
+    return {"source_profile": source_profile(raw), "cleaning_retention": cleaning.cleaning_retention(raw)}
+
+
 def result_path(base: str, name: str, file_format: str) -> str:
     return f"{base}/{file_format}/{name}"
 
@@ -77,12 +91,16 @@ def save_bundle(
         if samples:
             kind = "parquet" if name == CLEANED else "csv"  # not parsed once more
             stored = writers.load(df.sparkSession, saved[f"{name}/{kind}"], df, kind)
-            saved[f"{name}/sample"] = writers.sample_export(stored, result_path(base, stem, "sample"), cap)
+            sample = writers.sample_rows(stored, cap) if name == CLEANED else stored.limit(cap)
+            saved[f"{name}/sample"] = writers.save(sample, result_path(base, stem, "sample"), "csv")
         return saved
 
     present = {name: df for name, df in results.items() if df is not None}
+    if not present:
+        return {}
+    session = next(iter(present.values())).sparkSession
     with ThreadPool(SAVES_AT_ONCE) as pool:
-        parts = pool.starmap(inheritable_thread_target(save_one), present.items())
+        parts = pool.starmap(inheritable_thread_target(session)(save_one), present.items())
     return {path_name: path for part in parts for path_name, path in part.items()}
 
 
@@ -96,11 +114,11 @@ def run(raw: DataFrame, base: str, analysed_at: str | None = None, samples: bool
     cleaned = cleaning.cleaned_lines(raw)
     table = writers.save(cleaned, result_path(base, CLEANED, "parquet"), "parquet")
     lines = writers.load(raw.sparkSession, table, cleaned, "parquet")
-    results = report_bundle(lines)
+    results = report_bundle(lines) | source_bundle(raw)
     saved = save_bundle(results, base, samples, lines_parquet=table)
     report = kpi.kpi_report(lines, analysed_at)
     writers.save_report_text(report, f"{base}/analysis_report")
-    return RetailRun(base, saved, results, report)
+    return RetailRun(base, saved, results, report, writers.output_manifest(raw.sparkSession, base))
 
 
 def run_csv(
