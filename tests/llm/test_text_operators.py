@@ -166,10 +166,11 @@ def brute_kept(texts, length=400):
     return out
 
 
-@pytest.mark.parametrize("largest_group", [4096, 1])
-def test_removal_equals_brute_force(spark, monkeypatch, largest_group):
-    """With groups of one edge, all edges are settled by their single windows instead."""
+@pytest.mark.parametrize("largest_group,salt_rows", [(4096, 1 << 15), (1, 1), (4096, 2)])
+def test_removal_equals_brute_force(spark, monkeypatch, largest_group, salt_rows):
+    """With groups of one edge, all edges are settled by their single windows; with few rows a salt, copies are dealt out."""
     monkeypatch.setattr(substring_dedup, "GROUP_EDGES", largest_group)
+    monkeypatch.setattr(substring_dedup, "SALT_ROWS", salt_rows)
     rng = np.random.default_rng(3)
     random = lambda n: bytes(rng.choice(list(b"abcdefgh "), n).astype(np.uint8))
     passage, core, edge = random(900), random(350), random(400)

@@ -37,6 +37,7 @@ COARSE, FINE = 185, 93  # how far anchors of one run may lie apart within their
 BLOCK_BYTES = 1_000_000
 GROUP_EDGES = 4096
 BATCH_SYMBOLS = 600_000
+SALT_ROWS = 1 << 15
 PLACE_BITS = 30
 
 
@@ -258,12 +259,18 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, start, stop (bytes) that are to go from each text; spans may overlap. docs: doc_id, text, text_hash."""
     rows = materialize(run_rows(docs), "substring-runs")
-    keys = rows.groupBy("key").agg(F.count("*").alias("n"), (F.min("bytes") != F.max("bytes")).alias("differ")).where("n > 1").drop("n")
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), (F.min("bytes") != F.max("bytes")).alias("differ")).where("n > 1")
+    keys = keys.select("key", "differ", F.ceil(F.col("n") / SALT_ROWS).alias("salts"))
     keys = materialize(keys, "substring-keys")  # a join with a table, not with an aggregate, can be split
-    again = materialize(rows.join(keys, "key"), "substring-repeated")  # adaptive execution splits a core that is hot
+    salt = F.pmod(F.xxhash64("doc_id", "first"), F.col("salts")).cast("int").alias("salt")
+    again = rows.join(keys, "key").select("key", "bytes", "differ", salt, "doc_id", "text_hash", "first", "windows")
+    again = materialize(again, "substring-repeated")  # adaptive execution splits a core that is hot
     place = F.struct("doc_id", "text_hash", "first", "windows")
-    whole = materialize(again.groupBy("key", "bytes", "differ").agg(F.count("*").alias("n"), F.min(place).alias("place")), "substring-whole")
-    copied = again.join(whole.where("n > 1").select("key", "bytes"), ["key", "bytes"]).select(
+    runs_ = again.groupBy("key", "bytes", "differ").agg(F.count("*").alias("n"), F.min(place).alias("place"), F.collect_set("salt").alias("salts"))
+    whole = materialize(runs_, "substring-whole")
+    # A run meets its copies once for each salt that they have, so that many copies are dealt over many tasks.
+    salted = whole.where("n > 1").select("key", "bytes", F.explode("salts").alias("salt"))
+    copied = again.join(salted, ["key", "bytes", "salt"]).select(
         "doc_id", "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + LENGTH).alias("stop")
     )
     run = F.struct("place.first", "place.windows", "key", "bytes", (F.col("n") > 1).alias("settled"))
