@@ -262,50 +262,43 @@ def kpi_report() -> str:
     )
 
 
-def bundle_counts() -> str:
-    def groups(keys: str, cap: int | None = None, having: str = "") -> str:
-        count = f"(select count(*) from (select 1 from cleaned group by {keys} {having}))"
-        return count if cap is None else f"least({cap}, {count})"
-
-    lines = "(select count(*) from cleaned)"
-    product = "product_id, product_name, category"
-    counts = {
-        "cleaned_data/parquet": lines,
-        "cleaned_data/csv": lines,
-        "cleaned_data/sample": f"least(100000, {lines})",
-        "quality_overview/csv": "1",
-        "null_counts/csv": "1",
-        "numeric_summary/csv": "25",
-        "regional_analysis/csv": groups("region"),
-        "market_analysis/csv": groups("market"),
-        "country_analysis/csv": groups("country", 10),
-        "product_analysis/csv": groups("category, sub_category"),
-        "top_products/csv": groups(product, 10),
-        "top_profitable_products/csv": groups(product, 10, f"having {total('profit')} > 0"),
-        "yearly_sales/csv": groups("order_year"),
-        "monthly_sales/csv": groups("year_month"),
-        "quarterly_sales/csv": groups("order_year, order_quarter"),
-        "weekly_sales/csv": groups('"year", weeknum', 15),
-        "customer_segments/csv": groups("segment"),
-        "top_customers/csv": groups("customer_id, customer_name, segment", 10),
-        "shipping_analysis/csv": groups("ship_mode"),
-        "shipping_sales_corr/csv": "1",
-        "shipping_cost_summary/csv": "1",
-        "kpi_summary/csv": "1",
-        "kpi_shipping_total/csv": "1",
-        "best_region/csv": "1",
-        "best_market/csv": "1",
-        "best_category/csv": "1",
-        "avg_customer_value/csv": "1",
-        "preview/csv": f"least(5, {lines})",
-        "source_profile/csv": f"{len(LINE_TYPES)}",
-        "cleaning_retention/csv": "1",
-    }
-    reports = [n.removesuffix("/csv") for n in counts if not n.startswith("cleaned_data")]
-    counts |= {f"{n}/sample": f"least(50000, {counts[f'{n}/csv']})" for n in reports}
-    return over_cleaned(
-        " union all ".join(f"select '{n}' as name, cast({c} as bigint) as row_count" for n, c in counts.items())
+# Saved result -> the query that it equals, where the names differ.
+BUNDLE_NAMES = {
+    "cleaned_data": "cleaned_lines",
+    "regional_analysis": "region_performance",
+    "market_analysis": "market_performance",
+    "country_analysis": "top_countries",
+    "product_analysis": "category_performance",
+    "customer_segments": "segment_performance",
+    "shipping_analysis": "shipping_mode_performance",
+}
+BUNDLE_SAME = (
+    "quality_overview null_counts numeric_summary top_products top_profitable_products yearly_sales monthly_sales "
+    "quarterly_sales weekly_sales top_customers shipping_sales_corr shipping_cost_summary kpi_summary "
+    "kpi_shipping_total best_region best_market best_category avg_customer_value preview source_profile "
+    "cleaning_retention"
+).split()
+
+
+def bundle(found: dict[str, str]) -> str:
+    """Rows and the sum of all numbers of every saved result, and the digest of the KPI text."""
+    first = ", ".join(f"{c} nulls first" for c in CLEANED_COLUMNS.split(", "))
+    found = found | {"preview": over_cleaned(f"select {CLEANED_COLUMNS} from cleaned order by {first} limit 5")}
+    parts = []
+    for name, query in (BUNDLE_NAMES | {n: n for n in BUNDLE_SAME}).items():
+        lines = name == "cleaned_data"
+        cells = f"unpivot (select columns(*)::varchar from ({found[query]})) on columns(*) into name k value x"
+        summed = f"""(select (select count(*) from ({found[query]})) as n, cast(cast(coalesce(
+          (select sum(try_cast(x as decimal(38,4))) from ({cells})), 0) as decimal(38,2)) as varchar) as d)"""
+        cap, digest = ("100000", "cast(null as varchar)") if lines else ("50000", "d")
+        copies = [("csv", "n", "d"), ("sample", f"least({cap}, n)", digest), *([("parquet", "n", "d")] if lines else [])]
+        shown = ", ".join(f"('{name}/{kind}', {n}, {d})" for kind, n, d in copies)
+        parts.append(f"select v.name, v.row_count, v.digest from {summed}, lateral (values {shown}) v(name, row_count, digest)")
+    text = "select metric || ': ' || value as line from (" + found["kpi_report_rows"] + ")"
+    parts.append(
+        f"select 'analysis_report', count(*), md5(string_agg(line, chr(10) order by line)) from ({text})"
     )
+    return " union all ".join(parts)
 
 
 def forecast_counts() -> str:
@@ -369,9 +362,13 @@ def twins() -> dict[str, str]:
     profit_lines = (
         "select *, " + decimal_round("profit / sales * 100", 2) + f" as profit_margin from lines where {VALID}"
     )
-    return {
+    found = {
         # sources
-        "csv_scan": all_lines,
+        "csv_scan": over_lines(
+            f"""select * replace (product_name || ' 12" wide, "red"' as product_name,
+            case when quantity = 1 then '' when quantity <> 2 then ' ' || customer_name || ' ' end as customer_name)
+            from (select {ALL_LINE_COLUMNS} from lines)"""
+        ),
         "csv_discovery": all_lines,
         "source_profile": source_profile(),
         "preview": over_cleaned(
@@ -382,7 +379,6 @@ def twins() -> dict[str, str]:
         "sink_csv": all_cleaned,
         "sink_parquet": all_cleaned,
         "sink_json": all_cleaned,
-        "save_bundle": bundle_counts(),
         "sink_single_file": over_cleaned(
             "select cast(1 as bigint) as file_count, count(distinct year_month) as row_count from cleaned"
         ),
@@ -620,3 +616,5 @@ def twins() -> dict[str, str]:
             from d"""
         ),
     }
+    found["save_bundle"] = bundle(found)
+    return found

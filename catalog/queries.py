@@ -68,9 +68,15 @@ def headed(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({c: HEADINGS[c] for c in df.columns})
 
 
+def quoted_texts(df: DataFrame) -> DataFrame:
+    """Texts that a CSV file must quote: with quotes and commas, empty ones beside missing ones, blanks at the ends."""
+    name = F.when(F.col("quantity") == 1, "").when(F.col("quantity") != 2, F.concat(F.lit(" "), "customer_name", F.lit(" ")))
+    return df.withColumns({"product_name": F.concat("product_name", F.lit(' 12" wide, "red"')), "customer_name": name})
+
+
 def csv_scan(spark: SparkSession, folder: str) -> DataFrame:
     path = work_path(spark, "csv-scan")
-    writers.save(headed(order_lines(spark, folder)), path, "csv")
+    writers.save(headed(quoted_texts(order_lines(spark, folder))), path, "csv")
     return csv_lines.read_order_lines(spark, path)
 
 
@@ -112,15 +118,28 @@ def sink_single_file(spark: SparkSession, folder: str) -> DataFrame:
     return saved.agg(files, F.count(F.lit(1)).alias("row_count"))
 
 
+def sum_of_numbers(df: DataFrame) -> Column:
+    """The sum of every value that reads as a number, over all columns."""
+    numbers = [F.sum(F.col(f"`{c}`").cast("string").try_cast("decimal(38,4)")) for c in df.columns]
+    whole = reduce(lambda a, b: a + b, (F.coalesce(n, F.lit(0)).cast("decimal(38,4)") for n in numbers))
+    return whole.cast("decimal(38,2)").cast("string")
+
+
 def save_bundle(spark: SparkSession, folder: str) -> DataFrame:
-    """The complete run, then the rows of every saved result counted from its files."""
+    """The complete run, then rows and contents of every saved result, read from its files.
+
+    Of the sample of lines, which may be any of them, only the rows are told.
+    """
     run = retail_run.run(order_lines(spark, folder), work_path(spark, "bundle"), samples=True)
-    counts = []
+    found = []
     for name, path in run.saved.items():
-        reader = spark.read.option("header", True)
-        saved = reader.parquet(path) if name.endswith("/parquet") else reader.csv(path)
-        counts.append(saved.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("row_count")))
-    return reduce(DataFrame.unionByName, counts)
+        saved = spark.read.parquet(path) if name.endswith("/parquet") else spark.read.options(**writers.CSV_READ).csv(path)
+        digest = F.lit(None).cast("string") if name == f"{retail_run.CLEANED}/sample" else sum_of_numbers(saved)
+        found.append(saved.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("row_count"), digest.alias("digest")))
+    text = F.md5(F.concat_ws("\n", F.array_sort(F.collect_list("value"))))
+    report = spark.read.text(f"{run.base}/analysis_report")
+    found.append(report.agg(F.lit("analysis_report").alias("name"), F.count(F.lit(1)).alias("row_count"), text.alias("digest")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def sample_export(spark: SparkSession, folder: str) -> DataFrame:
