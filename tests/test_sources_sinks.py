@@ -152,3 +152,12 @@ def test_profile_and_preview(lines):
     assert [(r.ordinal, r.column_name, r.data_type) for r in profile] == [(1, "order_id", "string"), (2, "sales", "double")]
     assert {r.row_count for r in profile} == {lines.count()} and {r.column_count for r in profile} == {2}
     assert csv_lines.preview(lines).count() == 5
+
+
+def test_malformed_lines_are_counted(spark, tmp_path):
+    (tmp_path / "lines.csv").write_text('Order ID,Sales,Quantity\na,"1,234.50",1\nb,2.5,x\nc,3,\nd,4,1\n')
+    lines = csv_lines.read_order_lines(spark, str(tmp_path), malformed="bad_line")
+    profile = {r["column_name"]: r for r in csv_lines.source_profile(lines, "bad_line").collect()}
+    assert [profile[c]["null_count"] for c in ("order_id", "sales", "quantity")] == [0, 1, 2]
+    assert {(r["row_count"], r["column_count"], r["malformed_count"]) for r in profile.values()} == {(4, 3, 2)}
+    assert csv_lines.source_profile(lines.drop("bad_line")).columns[-1] == "column_count"
