@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,20 @@ def build_session(app_name: str = "tillframe", master: str | None = None, **conf
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, so that functions in tasks find it from any folder."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(package)
+    context = spark.sparkContext
+    if any(os.path.basename(f) == f"{name}.zip" for f in context.listFiles):
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix=f'{name}-')}/{name}", "zip", os.path.dirname(package), name)
+    context.addPyFile(archive)
 
 
 def shared_folder(spark: SparkSession) -> str:
