@@ -16,7 +16,10 @@ from tillframe.llm import (
     simhash_index,
     string_tiling,
     substring_dedup,
+    token_alignment,
+    toxicity,
     vector_search,
+    whitening,
 )
 
 
@@ -79,6 +82,23 @@ def sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shuffle_shards.shard_documents(_table(spark, folder, "documents"))
 
 
+def toxic(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity.score_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    nearest_ = F.try_element_at("evidence", F.lit(1))["cosine"]
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("evidence").alias("n_evidence"), nearest_.alias("nearest_cosine"))
+
+
+def aligned_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align(_table(spark, folder, "documents"), a, b, ["doc_id"])
+
+
+def whitened(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable(spark, folder of Parquet tables)."""
     return {
@@ -92,6 +112,9 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_vector_search": nearest,
         "op9_licences": licence_scan,
         "op10_sharding": sharding,
+        "op11_toxicity": toxic,
+        "op12_token_alignment": aligned_tokens,
+        "op13_whitening": whitened,
     }
 
 
