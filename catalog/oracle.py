@@ -342,6 +342,19 @@ def source_profile() -> str:
     )
 
 
+def distinct_counts() -> str:
+    """Distinct ids by region, market, month and over all lines."""
+    levels = {"region": "region", "market": "market", "period": "year_month", "total": "cast(null as varchar)"}
+    return over_cleaned(
+        " union all ".join(
+            f"""select '{level}' as level, {key} as name, '{c}' as measure, count(distinct {c}) as exact, true as within_bound
+            from cleaned group by {key if level != "total" else "()"}"""
+            for level, key in levels.items()
+            for c in ("customer_id", "order_id", "product_id")
+        )
+    )
+
+
 def twins() -> dict[str, str]:
     """SQL by query name."""
     all_lines = over_lines(f"select {ALL_LINE_COLUMNS} from lines")
@@ -370,6 +383,14 @@ def twins() -> dict[str, str]:
             from (select {ALL_LINE_COLUMNS} from lines)"""
         ),
         "csv_discovery": all_lines,
+        "csv_multi_line": over_lines(
+            f"""select * replace (product_name || case when quantity > 10 then chr(10) || '12" wide,' || chr(10) || chr(10) || '"red"'
+            else '' end as product_name) from (select {ALL_LINE_COLUMNS} from lines)"""
+        ),
+        "csv_mixed_headers": over_lines(
+            f"""select * replace (case when cast(quantity as int) % 3 <> 2 then discount end as discount)
+            from (select {ALL_LINE_COLUMNS} from lines)"""
+        ),
         "source_profile": source_profile(),
         "preview": over_cleaned(
             """select order_id, order_date, sales, profit, profit_margin from cleaned
@@ -386,6 +407,11 @@ def twins() -> dict[str, str]:
             """select cap, least(cap, n) as rows_saved
             from (values (100000), (1000)) c(cap), (select count(*) as n from cleaned)"""
         ),
+        "bounded_sample": over_cleaned(
+            """select order_id, product_id, cast(quantity as int) as quantity from cleaned
+            order by cast('0x' || substr(md5(concat_ws('|', order_id, product_id, cast(quantity as int))), 1, 15) as bigint) limit 1000"""
+        ),
+        "sink_replace": over_cleaned("select order_id, quantity, sales from cleaned where quantity < 20"),
         "output_manifest": "select f as file_format, true as has_files, true as has_bytes "
         "from (values ('csv'), ('parquet'), ('json')) v(f)",
         "kpi_report_rows": kpi_report(),
@@ -492,6 +518,7 @@ def twins() -> dict[str, str]:
             f"""select count(*) as line_count, {ORDERS}, {CUSTOMERS}, count(distinct product_id) as product_count,
             {TOTAL_SALES}, {TOTAL_PROFIT}, {AVG_SALES}, {MARGIN} from cleaned"""
         ),
+        "distinct_counts": distinct_counts(),
         "kpi_shipping_total": over_cleaned(f"select {total('shipping_cost')} as total_cost from cleaned"),
         "best_region": grouped(
             "region", [TOTAL_PROFIT], "order by total_profit desc nulls last, region nulls first limit 1"

@@ -8,13 +8,13 @@ from functools import cache, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillframe.operators import cleaning, exploration, features, kpi, quality, regression, sales, scenarios
+from tillframe.operators import cleaning, distincts, exploration, features, kpi, quality, regression, sales, scenarios
 from tillframe.operators.encoding import CATEGORICAL, fit_label_codes, label_encode
 from tillframe.plans import forecast_run, retail_run
 from tillframe.schema import HEADINGS
 from tillframe.session import materialize, work_path
 from tillframe.sinks import writers
-from tillframe.sources import csv_lines
+from tillframe.sources import csv_folder, csv_lines
 from tillframe.sources.star_schema import observations, order_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,26 @@ def csv_discovery(spark: SparkSession, folder: str) -> DataFrame:
     return csv_lines.read_order_lines(spark, path)
 
 
+def csv_multi_line(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with line breaks, commas and quotes, read by many tasks a file."""
+    path = work_path(spark, "csv-multi-line")
+    broken = F.concat("product_name", F.lit('\n12" wide,\n\n"red"'))
+    lines = order_lines(spark, folder).withColumn("product_name", F.when(F.col("quantity") > 10, broken).otherwise(F.col("product_name")))
+    writers.save(headed(lines), path, "csv")
+    return csv_folder.read_folder(spark, path, multi_line=True)
+
+
+def csv_mixed_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """One folder of files in three orders of columns, one without the discount."""
+    path = work_path(spark, "csv-mixed-headers")
+    lines = order_lines(spark, folder)
+    names = lines.columns
+    for i, order in enumerate((names, names[::-1], [c for c in names[5:] + names[:5] if c != "discount"])):
+        part = lines.where(F.col("quantity").cast("int") % 3 == i).select(*order)
+        headed(part).write.mode("append").options(**writers.CSV_WRITE).csv(path)
+    return csv_folder.read_folder(spark, path)
+
+
 def source_profile(spark: SparkSession, folder: str) -> DataFrame:
     return csv_lines.source_profile(order_lines(spark, folder))
 
@@ -153,6 +173,28 @@ def sample_export(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, saved)
 
 
+def bounded_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of least rank, under a rank that SQL can state as well."""
+    lines = cleaned(spark, folder, "order_id", "product_id").select("order_id", "product_id", F.col("quantity").cast("int").alias("quantity"))
+    rank = F.conv(F.substring(F.md5(F.concat_ws("|", *lines.columns)), 1, 15), 16, 10).cast("long")
+    return writers.sample_rows(lines, LOW_CAP, rank=rank)
+
+
+def sink_replace(spark: SparkSession, folder: str) -> DataFrame:
+    """A saved result, replaced, then not replaced by a job that fails half-way."""
+    lines = cleaned(spark, folder, "order_id").select("order_id", "quantity", "sales")
+    path = work_path(spark, "replace")
+    for part in (lines.limit(3), lines.where("quantity < 20")):
+        writers.save(part, path, "parquet")
+    late = F.when(F.col("quantity") > 49, F.raise_error(F.lit("a job that fails")).cast("double")).otherwise(F.col("sales"))
+    try:
+        writers.save(lines.withColumn("sales", late), path, "parquet")
+    except Exception as error:
+        if "a job that fails" not in str(error):
+            raise
+    return writers.load(spark, path, lines, "parquet")
+
+
 def output_manifest(spark: SparkSession, folder: str) -> DataFrame:
     base = work_path(spark, "manifest")
     lines = cleaned(spark, folder)
@@ -201,6 +243,14 @@ def null_counts_raw(spark: SparkSession, folder: str) -> DataFrame:
     return quality.null_counts(order_lines(spark, folder), first=None)
 
 
+def distinct_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact distinct counts at every level, and whether the rolled-up sketches are within their bound of them."""
+    lines = materialize(cleaned(spark, folder, *distincts.MEASURED, "region", "market", "order_date"), "distinct-lines")
+    counted = distincts.distinct_counts(lines.select(*distincts.BASE, *distincts.MEASURED))
+    within = F.abs(F.col("estimate") - F.col("exact")) <= F.ceil(F.col("exact") * distincts.error_bound())
+    return counted.select("level", "name", "measure", "exact", within.alias("within_bound"))
+
+
 # features
 
 
@@ -370,8 +420,9 @@ def formula_scores(spark: SparkSession, folder: str, columns: tuple[str, ...]) -
 
 
 def scenario_formula_scores(spark: SparkSession, folder: str) -> DataFrame:
-    scored = formula_scores(spark, folder, (*FORMULA_INPUTS, "obs_key"))
-    shown = scenarios.scenario_scores(scored).select("obs_key", "scenario", "monthly_sales", "annual_sales")
+    products = observations(spark, folder, (*FORMULA_INPUTS, "obs_key"))
+    scored = scenarios.grid_scores(products, lambda df: scenarios.score_by_formula(df, "obs_index"))
+    shown = scored.select("obs_key", "scenario", "monthly_sales", "annual_sales")
     return steadied(shown, 4, "monthly_sales", "annual_sales")
 
 
@@ -395,6 +446,8 @@ def registry() -> dict[str, Query]:
     return {
         "csv_scan": csv_scan,
         "csv_discovery": csv_discovery,
+        "csv_multi_line": csv_multi_line,
+        "csv_mixed_headers": csv_mixed_headers,
         "source_profile": source_profile,
         "preview": preview,
         "sink_csv": round_trip("csv"),
@@ -403,6 +456,8 @@ def registry() -> dict[str, Query]:
         "sink_single_file": sink_single_file,
         "save_bundle": save_bundle,
         "sample_export": sample_export,
+        "bounded_sample": bounded_sample,
+        "sink_replace": sink_replace,
         "kpi_report_rows": report(kpi.kpi_report, "region", "market", "category", "customer_id"),
         "output_manifest": output_manifest,
         "clean_filter": lambda spark, folder: cleaning.clean_filter(order_lines(spark, folder)),
@@ -437,6 +492,7 @@ def registry() -> dict[str, Query]:
         ),
         "shipping_cost_summary": report(sales.shipping_cost_summary, "shipping_cost"),
         "kpi_summary": report(kpi.kpi_summary, *places, "product_id"),
+        "distinct_counts": distinct_counts,
         "kpi_shipping_total": report(kpi.kpi_shipping_total, "shipping_cost"),
         "best_region": report(kpi.best_region, "region"),
         "best_market": report(kpi.best_market, "market"),
