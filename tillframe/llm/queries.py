@@ -121,16 +121,17 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # Exact integer inner products of every query with every row of its length.
 NEAREST_SQL = """
 with sound as (
-  select distinct vec_id, list_transform(embedding, lambda x: cast(floor(x::double * 256) as bigint)) v
+  select row_number() over () place, vec_id, list_transform(embedding, lambda x: cast(floor(x::double * 256) as bigint)) v
   from embeddings
-  where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
-  select q.vec_id query_id, q.v, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) score
-  from sound q join sound c on len(q.v) = len(c.v) and (q.vec_id <> c.vec_id or q.v <> c.v)
+  select q.vec_id query_id, q.place query_place, c.vec_id, c.place,
+         cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) score
+  from sound q join sound c on len(q.v) = len(c.v) and q.place <> c.place
   where q.vec_id % 50 = 0
 ), ranked as (
-  select query_id, row_number() over (partition by query_id, v order by score desc, vec_id) "rank", vec_id, score from scored
+  select query_id, row_number() over (partition by query_place order by score desc, vec_id nulls last, place) "rank", vec_id, score
+  from scored
 )
 select query_id, cast("rank" as integer) "rank", vec_id, score from ranked where "rank" <= 5
 """
