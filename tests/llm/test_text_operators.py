@@ -166,8 +166,8 @@ def brute_kept(texts, length=400):
     return out
 
 
-@pytest.mark.parametrize("largest_group,salt_rows", [(4096, 1 << 15), (1, 1), (4096, 2)])
-def test_removal_equals_brute_force(spark, monkeypatch, largest_group, salt_rows):
+@pytest.mark.parametrize("length,largest_group,salt_rows", [(400, 4096, 1 << 15), (400, 1, 1), (400, 4096, 2), (200, 4096, 2), (64, 4096, 1 << 15), (8, 4096, 1 << 15)])
+def test_removal_equals_brute_force(spark, monkeypatch, length, largest_group, salt_rows):
     """With groups of one edge, all edges are settled by their single windows; with few rows a salt, copies are dealt out."""
     monkeypatch.setattr(substring_dedup, "GROUP_EDGES", largest_group)
     monkeypatch.setattr(substring_dedup, "SALT_ROWS", salt_rows)
@@ -182,15 +182,32 @@ def test_removal_equals_brute_force(spark, monkeypatch, largest_group, salt_rows
     texts += [bytes(near), passage + passage, "é".encode() * 300 + random(50), "é".encode() * 300]
     rows = [(i, t.decode(), i, "x") for i, t in enumerate(texts)] + [(3, None, 0, ""), (None, passage.decode()[:500], 1, ""), (5, edge.decode(), 5, "x")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, text_hash int, spans string")
-    found = substring_dedup.remove_repeats(frame, ["doc_id"]).collect()
-    wanted = brute_kept([(r[1] or "").encode() for r in rows])
+    found = substring_dedup.remove_repeats(frame, ["doc_id"], length=length).collect()
+    wanted = brute_kept([(r[1] or "").encode() for r in rows], length)
     key = lambda r: (r[0] is None, r)
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in found), key=key) == sorted(((r[0], *w) for r, w in zip(rows, wanted)), key=key)
 
 
+def test_windows_follow_from_their_length():
+    shape = substring_dedup.Windows()
+    assert (shape.length, shape.anchor, shape.coarse, shape.fine) == (400, 32, 185, 93)
+    for length in (8, 64, 200, 400, 1000):
+        shape = substring_dedup.Windows(length)
+        for parts in (shape.coarse, shape.fine):
+            for part in range(-(-shape.reach // parts)):
+                left, right = shape.core(1000, part, parts)
+                assert 0 < right - left <= length
+    with pytest.raises(ValueError):
+        substring_dedup.Windows(7)
+
+
 def test_removal_of_odd_rows(odd_docs, no_docs):
-    found = substring_dedup.remove_repeats(odd_docs, ["doc_id", "source"], as_text=True)
-    assert found.count() == odd_docs.count()
+    named = odd_docs.withColumnsRenamed({"score": "kept", "bucket": "n_spans"})
+    found = substring_dedup.remove_repeats(named, ["doc_id", "source", "kept", "n_spans"], as_text=True)
+    assert found.columns == ["doc_id", "source", "n_bytes", "n_removed", "n_spans", "kept"]
+    rows = odd_docs.collect()
+    wanted = brute_kept([(r["text"] or "").encode() for r in rows])
+    assert sorted((repr(r["doc_id"]), r["n_bytes"], r["n_removed"], r["kept"].encode()) for r in found.collect()) == sorted((repr(r["doc_id"]), w[0], w[1], w[3]) for r, w in zip(rows, wanted))
     assert substring_dedup.remove_repeats(no_docs, ["doc_id"]).count() == 0
 
 

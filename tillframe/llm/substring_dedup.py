@@ -1,26 +1,29 @@
 """Removal of long repeated substrings over a whole corpus.
 
-A byte goes if a string of 400 bytes covers it that also starts anywhere else in the corpus, the same text included.
+A byte goes if a string of a given length (400 bytes unless told otherwise) covers it that also starts anywhere else in
+the corpus, the same text included.
 
-1. *Runs.* Every window of 400 bytes has an anchor, the 32-byte string in it with the least hash. Neighbouring windows
-   with the same anchor, and with the anchor in the same part of the window, are a run. All windows of a run share a
-   core of some 216 bytes, whose place in a window depends on the window's content alone: equal windows, wherever they
-   are, have equal cores. One row a run is written: the hash of its core and of all its bytes.
+1. *Runs.* Every window of that length has an anchor, the string of a few bytes in it (32 of 400) with the least hash.
+   Neighbouring windows with the same anchor, and with the anchor in the same half of the window, are a run. All
+   windows of a run share a core of half a window, whose place in a window depends on the window's content alone: equal
+   windows, wherever they are, have equal cores. One row a run is written: the hash of its core and of all its bytes.
 2. *Whole runs.* Runs with the same bytes are repeated as a whole. A core that occurs once is done with. What is left
    are runs whose core is repeated but whose bytes differ: the edges of copied passages.
-3. *Edges.* They are read again, one copy of each, cut into finer runs (cores of 308 bytes), and brought together by
-   core. In each group the core becomes one symbol between the bytes on both sides, and breadth-first backward
+3. *Edges.* They are read again, one copy of each, cut into finer runs (anchors in the same quarter, cores of three
+   quarters), and brought together by core. In each group the core becomes one symbol between the bytes on both sides, and breadth-first backward
    extension on a Burrows-Wheeler transform, stopped at the length of a window, tells which windows are repeated
    (see interval_expansion).
 
 A core shared by very many edges would make a group too large for one task; such groups are settled by the hash of
 each single window instead, a count that spreads over all tasks. Copies of a text never come together: they are equal
-whole runs, which are only counted. Rows are known by doc_id and the xxhash64 of the text.
+whole runs, which are only counted. Cores, runs and windows are told apart by 128 bits of hash. Rows are known by
+doc_id and the xxhash64 of the text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,6 @@ from tillframe.llm.interval_expansion import repeated_starts
 from tillframe.session import materialize
 
 LENGTH = 400
-ANCHOR = 32
-COARSE, FINE = 185, 93  # how far anchors of one run may lie apart within their windows
 BLOCK_BYTES = 1_000_000
 GROUP_EDGES = 4096
 BATCH_SYMBOLS = 600_000
@@ -41,19 +42,55 @@ SALT_ROWS = 1 << 15
 PLACE_BITS = 30
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
+@dataclass(frozen=True)
+class Windows:
+    """The length of a window in bytes and what follows from it.
+
+    ``anchor``: bytes of an anchor, 8 % of the window. ``reach``: places of an anchor in a window. ``coarse`` and
+    ``fine``: how far anchors of one run may lie apart within their windows, a half and a quarter of the places.
+    """
+
+    length: int = LENGTH
+
+    def __post_init__(self) -> None:
+        if self.length < 8:
+            raise ValueError("windows of under 8 bytes have no anchors worth the name")
+
+    @property
+    def anchor(self) -> int:
+        return min(32, max(1, self.length * 2 // 25))
+
+    @property
+    def reach(self) -> int:
+        return self.length - self.anchor + 1
+
+    @property
+    def coarse(self) -> int:
+        return -(-self.reach // 2)
+
+    @property
+    def fine(self) -> int:
+        return -(-self.reach // 4)
+
+    def core(self, anchor: int, part: int, parts: int) -> tuple[int, int]:
+        """Where the bytes shared by all windows of a part lie."""
+        nearest, farthest = part * parts, min(part * parts + parts - 1, self.reach - 1)
+        return anchor - nearest, anchor - farthest + self.length
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, shape: Windows, parts: int) -> tuple[np.ndarray, ...]:
     """Runs of windows in texts laid end to end: first window, last window, anchor and part, each an array.
 
     ``parts`` is the width of a part of the window: the anchor's place in the window, divided by it, is the part.
     """
     none = (np.zeros(0, np.int64),) * 4
-    n, reach = len(data), LENGTH - ANCHOR + 1
-    if n < LENGTH:
+    n, reach, length, size = len(data), shape.reach, shape.length, shape.anchor
+    if n < length:
         return none
     up, down = powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTES[data] * up[:n], out=sums[1:])
-    hashes = (sums[ANCHOR:] - sums[:-ANCHOR]) * down[: n - ANCHOR + 1]
+    hashes = (sums[size:] - sums[:-size]) * down[: n - size + 1]
     hashes ^= hashes >> np.uint64(32)
     hashes *= np.uint64(0x94D049BB133111EB)
     place = np.uint64((1 << PLACE_BITS) - 1)
@@ -66,9 +103,9 @@ def runs(data: np.ndarray, offsets: np.ndarray, parts: int) -> tuple[np.ndarray,
     backward = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
     anchor = (np.minimum(backward[: m - reach + 1], forward[reach - 1 : m]) & place).astype(np.int64)
     change = np.zeros(n + 2, np.int32)
-    long_ = np.diff(offsets) >= LENGTH
+    long_ = np.diff(offsets) >= length
     change[offsets[:-1][long_]] += 1
-    change[offsets[1:][long_] - LENGTH + 1] -= 1
+    change[offsets[1:][long_] - length + 1] -= 1
     starts = np.flatnonzero(np.cumsum(change)[: len(anchor)] > 0)
     if not len(starts):
         return none
@@ -83,18 +120,18 @@ def runs(data: np.ndarray, offsets: np.ndarray, parts: int) -> tuple[np.ndarray,
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
-def core(anchor: int, part: int, parts: int) -> tuple[int, int]:
-    """Where the bytes shared by all windows of a part lie."""
-    nearest, farthest = part * parts, min(part * parts + parts - 1, LENGTH - ANCHOR)
-    return anchor - nearest, anchor - farthest + LENGTH
+def _halves(data: bytes, seed: int) -> tuple[int, int]:
+    """128 bits of hash as two signed numbers."""
+    both = xxhash.xxh3_128_intdigest(data, seed)
+    return _signed(both >> 64), _signed(both & 0xFFFFFFFFFFFFFFFF)
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def run_rows(docs: DataFrame) -> DataFrame:
-    """key (hash of the core), bytes (hash of all bytes), doc_id, text_hash, first, windows of each run of each text."""
+def run_rows(docs: DataFrame, shape: Windows) -> DataFrame:
+    """key, key2 (hash of the core), bytes, bytes2 (hash of all bytes), doc_id, text_hash, first, windows of each run."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,33 +140,34 @@ def run_rows(docs: DataFrame) -> DataFrame:
             for a, b in row_blocks(np.diff(offsets), BLOCK_BYTES):
                 begin = offsets[a : b + 1] - offsets[a]
                 raw = data[offsets[a] : offsets[b]]
-                head, tail, anchor, part = runs(raw, begin, COARSE)
+                head, tail, anchor, part = runs(raw, begin, shape, shape.coarse)
                 if not len(head):
                     continue
-                view, digest = memoryview(raw.tobytes()), xxhash.xxh3_64_intdigest
-                keys, wholes = np.empty(len(head), np.uint64), np.empty(len(head), np.uint64)
-                for i, (h, t, x, p) in enumerate(zip(head.tolist(), tail.tolist(), anchor.tolist(), part.tolist())):
-                    left, right = core(x, p, COARSE)
-                    keys[i], wholes[i] = digest(view[left:right], p), digest(view[h : t + LENGTH])
+                view, digest = memoryview(raw.tobytes()), xxhash.xxh3_128_digest
+                keys, wholes = [], []
+                for h, t, x, p in zip(head.tolist(), tail.tolist(), anchor.tolist(), part.tolist()):
+                    left, right = shape.core(x, p, shape.coarse)
+                    keys.append(digest(view[left:right], p))
+                    wholes.append(digest(view[h : t + shape.length]))
+                halves = [np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)[:, i] for d in (keys, wholes) for i in (0, 1)]
                 row = np.searchsorted(begin, head, side="right") - 1
                 take = pa.array(row + a)
                 yield pa.record_batch(
-                    [pa.array(keys.view(np.int64)), pa.array(wholes.view(np.int64)), ids.take(take), hashes.take(take), pa.array(head - begin[row]), pa.array((tail - head + 1).astype(np.int32))],
-                    names=["key", "bytes", "doc_id", "text_hash", "first", "windows"],
+                    [*[pa.array(np.ascontiguousarray(x)) for x in halves], ids.take(take), hashes.take(take), pa.array(head - begin[row]), pa.array((tail - head + 1).astype(np.int32))],
+                    names=["key", "key2", "bytes", "bytes2", "doc_id", "text_hash", "first", "windows"],
                 )
 
-    return docs.mapInArrow(found, "key long, bytes long, doc_id long, text_hash long, first long, windows int")
+    return docs.mapInArrow(found, "key long, key2 long, bytes long, bytes2 long, doc_id long, text_hash long, first long, windows int")
 
 
-def edge_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def edge_rows(docs: DataFrame, wanted: DataFrame, shape: Windows) -> DataFrame:
     """The finer runs of the wanted runs of each text, with the bytes around their core.
 
-    fine_key, fine_bytes; key, bytes, settled (of the run they are from); doc_id, text_hash, first, windows; before and
+    fine_key, fine_key2; settled (whether the run they are from is); doc_id, text_hash, first, windows; before and
     after: what its windows hold on both sides of the core. ``wanted`` has one list of runs a text.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
@@ -138,14 +176,11 @@ def edge_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 raw = data[offsets[i] : offsets[i + 1]]
                 for run in wanted_runs:
                     begin, windows = run["first"], run["windows"]
-                    piece = raw[begin : begin + windows - 1 + LENGTH]
+                    piece = raw[begin : begin + windows - 1 + shape.length]
                     view = piece.tobytes()
-                    for h, t, x, p in zip(*(v.tolist() for v in runs(piece, np.array([0, len(piece)]), FINE))):
-                        left, right = core(x, p, FINE)
-                        rows.append(
-                            (_signed(digest(view[left:right], p)), _signed(digest(view[h : t + LENGTH])), run["key"], run["bytes"], run["settled"],
-                             ids[i], hashes[i], begin + h, t - h + 1, view[h:left], view[right : t + LENGTH])
-                        )
+                    for h, t, x, p in zip(*(v.tolist() for v in runs(piece, np.array([0, len(piece)]), shape, shape.fine))):
+                        left, right = shape.core(x, p, shape.fine)
+                        rows.append((*_halves(view[left:right], p), run["settled"], ids[i], hashes[i], begin + h, t - h + 1, view[h:left], view[right : t + shape.length]))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _EDGE)], schema=_EDGE)
                     rows = []
@@ -158,13 +193,10 @@ def edge_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 _EDGE = pa.schema(
-    [("fine_key", pa.int64()), ("fine_bytes", pa.int64()), ("key", pa.int64()), ("bytes", pa.int64()), ("settled", pa.bool_()), ("doc_id", pa.int64()),
-     ("text_hash", pa.int64()), ("first", pa.int64()), ("windows", pa.int32()), ("before", pa.binary()), ("after", pa.binary())]
+    [("fine_key", pa.int64()), ("fine_key2", pa.int64()), ("settled", pa.bool_()), ("doc_id", pa.int64()), ("text_hash", pa.int64()),
+     ("first", pa.int64()), ("windows", pa.int32()), ("before", pa.binary()), ("after", pa.binary())]
 )
-_EDGE_SQL = (
-    "fine_key long, fine_bytes long, key long, bytes long, settled boolean, doc_id long, text_hash long, first long, "
-    "windows int, before binary, after binary"
-)
+_EDGE_SQL = "fine_key long, fine_key2 long, settled boolean, doc_id long, text_hash long, first long, windows int, before binary, after binary"
 
 
 def expand(groups: list[list[tuple[bytes, bytes, int]]]) -> list[list[np.ndarray]]:
@@ -206,9 +238,9 @@ def _span_batch(spans: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=kinds)
 
 
-def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of the unsettled edges that are repeated; rows come sorted by fine_key, so that groups are whole."""
-    names = ("fine_key", "fine_bytes", "doc_id", "text_hash", "first", "windows", "before", "after", "settled")
+def _expanded(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Spans of the unsettled edges that are repeated; rows come sorted by their core, so that groups are whole."""
+    names = ("fine_key", "fine_key2", "doc_id", "text_hash", "first", "windows", "before", "after", "settled")
     rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in names)))
     groups: list[list[tuple]] = []
     held = 0
@@ -222,12 +254,12 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if edge[8]:
                     continue
                 steps = np.flatnonzero(np.diff(np.concatenate(([0], repeated.astype(np.int8), [0]))))
-                spans += [(edge[2], edge[3], edge[4] + a, edge[4] + b - 1 + LENGTH) for a, b in zip(steps[::2].tolist(), steps[1::2].tolist())]
+                spans += [(edge[2], edge[3], edge[4] + a, edge[4] + b - 1 + length) for a, b in zip(steps[::2].tolist(), steps[1::2].tolist())]
         return _span_batch(spans)
 
     last = None
     for row in rows:
-        if groups and row[0] == groups[-1][0][0]:
+        if groups and row[:2] == groups[-1][0][:2]:
             if row[2:6] != last:  # a row of the same id and text is no other place
                 groups[-1].append(row)
                 held += len(row[6]) + len(row[7])
@@ -243,52 +275,56 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each single window of edges in very large groups: hash of the bytes around the core, and its place."""
-    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
-        for key, doc, text, first, windows, before, after, settled in zip(*(batch.column(c).to_pylist() for c in ("fine_key", "doc_id", "text_hash", "first", "windows", "before", "after", "settled"))):
+        columns = (batch.column(c).to_pylist() for c in ("fine_key", "fine_key2", "doc_id", "text_hash", "first", "windows", "before", "after", "settled"))
+        for key, key2, doc, text, first, windows, before, after, settled in zip(*columns):
             side = len(before) + len(after) - (windows - 1)
             both = before + after
-            hashes = [_signed(digest(both[w : w + side], len(before) - w)) for w in range(windows)]
-            n = len(hashes)
+            halves = zip(*(_halves(both[w : w + side], len(before) - w) for w in range(windows)))
+            n = windows
             yield pa.record_batch(
-                [pa.array([key] * n), pa.array(hashes), pa.array([doc] * n, pa.int64()), pa.array([text] * n), pa.array(range(first, first + n)), pa.array([settled] * n)],
-                names=["fine_key", "window", "doc_id", "text_hash", "first", "settled"],
+                [pa.array([key] * n), pa.array([key2] * n), *[pa.array(h, pa.int64()) for h in halves], pa.array([doc] * n, pa.int64()), pa.array([text] * n), pa.array(range(first, first + n)), pa.array([settled] * n)],
+                names=["fine_key", "fine_key2", "window", "window2", "doc_id", "text_hash", "first", "settled"],
             )
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, text_hash, start, stop (bytes) that are to go from each text; spans may overlap. docs: doc_id, text, text_hash."""
-    rows = materialize(run_rows(docs), "substring-runs")
-    keys = rows.groupBy("key").agg(F.count("*").alias("n"), (F.min("bytes") != F.max("bytes")).alias("differ")).where("n > 1")
-    keys = keys.select("key", "differ", F.ceil(F.col("n") / SALT_ROWS).alias("salts"))
+    shape = Windows(length)
+    core, run, fine = ["key", "key2"], ["key", "key2", "bytes", "bytes2"], ["fine_key", "fine_key2"]
+    rows = materialize(run_rows(docs, shape), "substring-runs")
+    differ = (F.min("bytes") != F.max("bytes")) | (F.min("bytes2") != F.max("bytes2"))
+    keys = rows.groupBy(*core).agg(F.count("*").alias("n"), differ.alias("differ")).where("n > 1")
+    keys = keys.select(*core, "differ", F.ceil(F.col("n") / SALT_ROWS).alias("salts"))
     keys = materialize(keys, "substring-keys")  # a join with a table, not with an aggregate, can be split
     salt = F.pmod(F.xxhash64("doc_id", "first"), F.col("salts")).cast("int").alias("salt")
-    again = rows.join(keys, "key").select("key", "bytes", "differ", salt, "doc_id", "text_hash", "first", "windows")
+    again = rows.join(keys, core).select(*run, "differ", salt, "doc_id", "text_hash", "first", "windows")
     again = materialize(again, "substring-repeated")  # adaptive execution splits a core that is hot
     place = F.struct("doc_id", "text_hash", "first", "windows")
-    runs_ = again.groupBy("key", "bytes", "differ").agg(F.count("*").alias("n"), F.min(place).alias("place"), F.collect_set("salt").alias("salts"))
+    runs_ = again.groupBy(*run, "differ").agg(F.count("*").alias("n"), F.min(place).alias("place"), F.collect_set("salt").alias("salts"))
     whole = materialize(runs_, "substring-whole")
     # A run meets its copies once for each salt that they have, so that many copies are dealt over many tasks.
-    salted = whole.where("n > 1").select("key", "bytes", F.explode("salts").alias("salt"))
-    copied = again.join(salted, ["key", "bytes", "salt"]).select(
-        "doc_id", "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + LENGTH).alias("stop")
+    salted = whole.where("n > 1").select(*run, F.explode("salts").alias("salt"))
+    copied = again.join(salted, [*run, "salt"]).select(
+        "doc_id", "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + length).alias("stop")
     )
-    run = F.struct("place.first", "place.windows", "key", "bytes", (F.col("n") > 1).alias("settled"))
-    wanted = whole.where("differ").groupBy("place.doc_id", "place.text_hash").agg(F.collect_list(run).alias("runs"))
-    edges = materialize(edge_rows(docs, wanted), "substring-edges")
-    sizes = materialize(edges.groupBy("fine_key").agg(F.count("*").alias("n")).where("n > 1"), "substring-sizes")
-    grouped = edges.join(sizes, "fine_key")
+    edge = F.struct("place.first", "place.windows", (F.col("n") > 1).alias("settled"))
+    wanted = whole.where("differ").groupBy("place.doc_id", "place.text_hash").agg(F.collect_list(edge).alias("runs"))
+    edges = materialize(edge_rows(docs, wanted, shape), "substring-edges")
+    sizes = materialize(edges.groupBy(*fine).agg(F.count("*").alias("n")).where("n > 1"), "substring-sizes")
+    grouped = edges.join(sizes, fine)
     small = grouped.where(F.col("n") <= GROUP_EDGES).drop("n")
-    order = ["fine_key", "doc_id", "text_hash", "first"]
-    expanded = small.repartition("fine_key").sortWithinPartitions(*order).mapInArrow(_expanded, _SPAN)
+    order = [*fine, "doc_id", "text_hash", "first"]
+    expanded = small.repartition(*fine).sortWithinPartitions(*order).mapInArrow(lambda batches: _expanded(batches, length), _SPAN)
     single = grouped.where(F.col("n") > GROUP_EDGES).mapInArrow(
-        _window_rows, "fine_key long, window long, doc_id long, text_hash long, first long, settled boolean"
+        _window_rows, "fine_key long, fine_key2 long, window long, window2 long, doc_id long, text_hash long, first long, settled boolean"
     )
+    window = [*fine, "window", "window2"]
     places = F.struct("doc_id", "text_hash", "first")
-    several = single.groupBy("fine_key", "window").agg((F.min(places) != F.max(places)).alias("several")).where("several").drop("several")
+    several = single.groupBy(*window).agg((F.min(places) != F.max(places)).alias("several")).where("several").drop("several")
     several = materialize(several, "substring-windows")
-    windows = single.where("not settled").join(several, ["fine_key", "window"]).select(
-        "doc_id", "text_hash", F.col("first").alias("start"), (F.col("first") + LENGTH).alias("stop")
+    windows = single.where("not settled").join(several, window).select(
+        "doc_id", "text_hash", F.col("first").alias("start"), (F.col("first") + length).alias("stop")
     )
     return copied.unionByName(expanded).unionByName(windows)
 
@@ -304,13 +340,17 @@ def merged(spans: list[dict], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: list[str], as_text: bool = False, length: int = LENGTH) -> DataFrame:
     """Columns ``keep`` of every row with n_bytes, n_removed, n_spans and ``kept``, the remaining bytes end to end.
 
-    ``as_text`` gives them as a string, without the bytes of characters that a cut has broken. A null text counts as empty. Rows of the same id and text are separate places, so that their texts repeat.
+    ``length`` is that of the strings, in bytes, whose repetition counts. ``as_text`` gives the rest as a string,
+    without the bytes of characters that a cut has broken. A null text counts as empty. Rows of the same id and text
+    are separate places, so that their texts repeat. A kept column named like an output gives way to it. An empty table
+    gives an empty result.
     """
+    keep = [k for k in keep if k not in ("n_bytes", "n_removed", "n_spans", "kept")]
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    spans = repeated_spans(texts).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(texts, length).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     spans = materialize(spans, "substring-spans")
     base = docs.withColumn("text_hash", F.xxhash64("text"))
     same = base["doc_id"].eqNullSafe(spans["doc_id"]) & (base["text_hash"] == spans["text_hash"])
