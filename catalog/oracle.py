@@ -605,6 +605,7 @@ def twins() -> dict[str, str]:
         + ", ".join(f"'{f}'" for f in FEATURES)
         + "]) as feature, true as sums_to_one",
         "score_products": over_observations("select obs_key, true as annual_is_twelvefold from observations"),
+        "stored_scores": over_observations("select obs_key, true as annual_is_twelvefold, true as is_same from observations"),
         "forecast_run": forecast_counts(),
         # scenarios
         "scenario_scores": f"with {OBSERVATIONS}, {GRID} "

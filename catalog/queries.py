@@ -8,7 +8,7 @@ from functools import cache, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillframe.operators import cleaning, distincts, exploration, features, kpi, quality, regression, sales, scenarios
+from tillframe.operators import cleaning, distincts, exploration, features, kpi, quality, regression, sales, scenarios, stored_model
 from tillframe.operators.encoding import CATEGORICAL, fit_label_codes, label_encode
 from tillframe.plans import forecast_run, retail_run
 from tillframe.schema import HEADINGS
@@ -400,6 +400,16 @@ def score_products(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("obs_key", is_twelvefold())
 
 
+def stored_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every product scored by the model as saved and loaded again, and whether the model in memory gives the same."""
+    model = fitted_forest(spark, folder)
+    path = stored_model.save_model(model, work_path(spark, "stored-model"))
+    products = observations(spark, folder)
+    loaded = stored_model.score_with(stored_model.load_model(path), products).select("obs_key", F.col("monthly_sales").alias("loaded"), is_twelvefold())
+    kept = regression.score_products(products, model).select("obs_key", "monthly_sales")
+    return loaded.join(kept, "obs_key").select("obs_key", "annual_is_twelvefold", (F.col("loaded") == F.col("monthly_sales")).alias("is_same"))
+
+
 # scenarios
 
 
@@ -524,6 +534,7 @@ def registry() -> dict[str, Query]:
         "model_selection": model_selection,
         "feature_importance": feature_importance,
         "score_products": score_products,
+        "stored_scores": stored_scores,
         "forecast_run": forecast_rows,
         "scenario_grid": grid,
         "scenario_scores": scenario_scores,
