@@ -52,8 +52,8 @@ def test_groups_of_odd_texts(both, text):
     check(both, text)
 
 
-@given(st.text(st.sampled_from("abe theINé中\U0001d6fc\U0001f600<|>s/ \n▁ﬁ."), min_size=1, max_size=40))
-@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("abe  theINé中\U0001d6fc\U0001f600<|>s/ \n▁ﬁ.'\t\x1c\x85\xa0\u2003"), min_size=1, max_size=40))
+@settings(max_examples=400, deadline=None)
 def test_groups_equal_brute_force(both, text):
     check(both, text)
 
@@ -64,7 +64,27 @@ def check(both, text):
     if got:
         a, b, a_at, b_at = got
         assert (len(a), len(b), list(zip(a[a_at], b[b_at]))) == (wanted[0], wanted[1], wanted[3])
-        assert ta.group_digest(both, *got) == hashlib.sha256(";".join(wanted[2]).encode()).hexdigest()
+        assert ta.groups(both, *got) == ";".join(wanted[2])
+    whole = ta.Texts(both).align([None, text, "", text])[1]
+    assert (wanted is None) == (whole is None)
+    if whole:
+        links = Counter(a * ta.SHIFT + b for a, b in wanted[3])
+        assert (whole.n_a, whole.n_b, whole.n_groups, whole.groups) == (wanted[0], wanted[1], len(wanted[2]), ";".join(wanted[2]))
+        assert dict(zip(whole.pairs.tolist(), whole.times.tolist())) == links
+
+
+def test_parts_are_remembered_and_forgotten(both, monkeypatch):
+    texts = ["a b c d e f a b c d", "the end of a   long " + "x" * 100 + " text", "a b c", "a▁b c", "a c", None]
+    assert both.parted
+    fresh = [ta.Texts(both).align([t])[0] for t in texts]
+    kept = ta.Texts(both)
+    for limit in (100, 3, 0):
+        monkeypatch.setattr(ta, "KEPT_PARTS", limit)
+        for got, wanted in zip(kept.align(texts), fresh):
+            assert (got is None) == (wanted is None)
+            if got:
+                assert got.groups == wanted.groups and got.pairs.tolist() == wanted.pairs.tolist() and got.times.tolist() == wanted.times.tolist()
+    assert fresh[3] is None and kept.align(["a"])[0].n_a == 1 and len(kept.number) < 5
 
 
 def test_ends_come_from_the_spans(both):

@@ -5,6 +5,9 @@ space before it. The libraries' spans are the coarse cuts: A's in characters, tu
 that share a character, or that the library gives an empty span, are placed by the lengths of their decoded bytes,
 counted from the last coarse cut. Offsets where tokens of both end cut them into groups, and link the two tokens.
 
+If no entry of either vocabulary has a space behind a character that is not white space, no token reaches over such a
+place: texts are cut there, and each distinct part is aligned once for many texts. Else whole texts are aligned.
+
 How often a pair of ids is linked in the whole corpus is summed in the cluster. Pairs that make up more than a fixed
 part of all links are few by definition; they are looked up within the tasks, so that the join of the others has no
 hot key.
@@ -13,16 +16,24 @@ hot key.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tillframe.llm.arrays import row_blocks
 from tillframe.session import materialize
 
+BLOCK_CHARS = 1_000_000
+JOINED_CHARS = 1 << 16  # of parts that go through the tokenizers together
+KEPT_PARTS, KEPT_CHARS = 300_000, 1 << 23  # what a task remembers at most, beside the parts of a block
+CUT = re.compile(r"(?<=\S) (?= *[^ ])")
+CROSSES = re.compile(r"(?<=\S) ")
 HOT_PART = 1 << 17  # a pair with more than one in so many links is hot: fewer than so many pairs are
 SHIFT = 1 << 32
 OUTPUT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -67,12 +78,14 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         marks = ((self.a_bytes, "|"), (self.b_bytes, ";"))
         self.written = [tuple(np.array([f"{i}{mark}" for i in range(len(held))], object) for mark in (",", last)) for held, last in marks]
+        self.parted = not any(CROSSES.search(raw.decode("utf-8", "replace")) for held in (self.a_bytes, self.b_bytes) for raw in held)
         self.a_widths, self.b_widths = (np.array([len(x) for x in held], np.int64) for held in (self.a_bytes, self.b_bytes))
 
     def tokens_a(self, spaced: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids and byte ends of the text's tokens; offsets of the library are in characters."""
         found = self.a.encode(spaced, add_special_tokens=False)
-        ids, spans = np.array(found.ids, np.int64), np.array(found.offsets, np.int64).reshape(-1, 2)
+        ids = np.array(found.ids, np.int64)
+        spans = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
         points = np.frombuffer(spaced.encode("utf-32-le"), np.uint32)
         at = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF).astype(np.int64))))
         cut = np.ones(len(ids), bool)
@@ -82,7 +95,7 @@ class Pair:
     def tokens_b(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids and byte ends, counted with the space before the text; spans of the library are in bytes of the text."""
         pieces = self.b.encode(text, return_type="proto").pieces
-        ids, end = np.array([p.id for p in pieces], np.int64), np.array([p.end for p in pieces], np.int64)
+        ids, end = np.array([x for p in pieces for x in (p.id, p.end)], np.int64).reshape(-1, 2).T
         return ids, refined(end + 1, np.diff(end, prepend=0) > 0, self.b_widths[ids])  # an empty span is no cut
 
     def align(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
@@ -102,19 +115,142 @@ class Pair:
         return a, b, a_at, b_at
 
 
-def group_digest(both: Pair, a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray) -> str:
-    """Digest of ``a1,a2|b1;a3|b2,b3``: each id with what follows it, sorted by group, A before B."""
+@dataclass(frozen=True)
+class Aligned:
+    """Numbers of tokens and groups of a text, the groups as ``a1,a2|b1;a3|b2,b3``, and its linked pairs with their times."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    groups: str
+    pairs: np.ndarray
+    times: np.ndarray
+
+
+def groups(both: Pair, a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray) -> str:
+    """``a1,a2|b1;a3|b2,b3``: each id with what follows it, sorted by group, A before B."""
     ends = (np.zeros(len(a), bool), np.zeros(len(b), bool))
     ends[0][a_at], ends[1][b_at] = True, True
     parts = [np.where(end, closed[ids], open_[ids]) for ids, end, (open_, closed) in zip((a, b), ends, both.written)]
     group = [2 * (np.cumsum(end) - end) + side for side, end in enumerate(ends)]
     order = np.argsort(np.concatenate(group), kind="stable")
-    return hashlib.sha256("".join(np.concatenate(parts)[order].tolist())[:-1].encode()).hexdigest()
+    return "".join(np.concatenate(parts)[order].tolist())[:-1]
+
+
+class Texts:
+    """Aligns texts by their distinct parts. A part's number is its place in lists of what is known of the parts.
+
+    ``known`` has a line (tokens of A, tokens of B, groups) a part, -1 for one whose tokens' bytes are not its own.
+    """
+
+    def __init__(self, both: Pair):
+        self.both = both
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.chars = 0
+        self.groups: list[str] = []
+        self.known = np.zeros((0, 3), np.int64)
+        self.pairs, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def learn(self, parts: list[str]) -> None:
+        """Align new parts, many at a time as one text, which is cut between them again.
+
+        A part that ends in white space, as the last one of a text may, can only be the last one there too.
+        """
+        lines: list[np.ndarray] = []
+        pairs: list[np.ndarray] = []
+        held, chars = [], 0
+        for i, part in enumerate(parts, start=1):
+            held.append(part)
+            chars += len(part) + 1
+            if chars >= JOINED_CHARS or part[-1].isspace() or i == len(parts):
+                self._learn(held, lines, pairs)
+                held, chars = [], 0
+        self.known = np.vstack([self.known, *lines])
+        self.pairs = np.concatenate([self.pairs, *pairs])
+        counts = np.maximum(self.known[:, 2], 0)
+        self.first = np.concatenate(([0], np.cumsum(counts)))
+
+    def _learn(self, parts: list[str], lines: list[np.ndarray], pairs: list[np.ndarray]) -> None:
+        found = self.both.align(" ".join(parts))
+        if found is None:
+            if len(parts) == 1:
+                lines.append(np.full((1, 3), -1))
+                self.groups.append("")
+                return
+            for half in (parts[: len(parts) // 2], parts[len(parts) // 2 :]):
+                self._learn(half, lines, pairs)
+            return
+        a, b, a_at, b_at = found
+        ends = np.cumsum([1 + len(p.encode()) for p in parts])
+        group_ends = np.cumsum(self.both.a_widths[a])[a_at]
+        last = np.searchsorted(group_ends, ends)  # the group that ends with each part
+        if not np.array_equal(group_ends[np.minimum(last, len(group_ends) - 1)], ends):
+            raise AssertionError("a token reached over a cut")
+        steps = lambda x: np.diff(x, prepend=-1)
+        lines.append(np.column_stack([steps(a_at[last]), steps(b_at[last]), steps(last)]))
+        pairs.append(a[a_at] * SHIFT + b[b_at])
+        single = groups(self.both, *found).split(";")
+        begins = [0, *(last + 1).tolist()]
+        self.groups += [single[i] if j - i == 1 else ";".join(single[i:j]) for i, j in zip(begins, begins[1:])]
+
+    def align(self, texts: list[str | None]) -> list[Aligned | None]:
+        """What each whole text gives; None as in ``Pair.align``."""
+        if len(self.number) > KEPT_PARTS or self.chars > KEPT_CHARS:
+            self.forget()
+        split = [(CUT.split(t) if self.both.parted else [t]) if t else [] for t in texts]
+        new: dict[str, int] = {}
+        codes = []
+        for parts in split:
+            for part in parts:
+                at = self.number.get(part)
+                if at is None:
+                    at = self.number[part] = len(self.number)
+                    new[part] = at
+                codes.append(at)
+        if new:
+            self.learn(list(new))
+            self.chars += sum(map(len, new))
+        sizes = np.array([len(parts) for parts in split], np.int64)
+        code = np.array(codes, np.int64)
+        text_of = np.repeat(np.arange(len(texts)), sizes)
+        lines = self.known[code]
+        sums = np.column_stack([np.bincount(text_of, lines[:, i], len(texts)) for i in range(3)]).astype(np.int64)
+        failed = np.bincount(text_of[lines[:, 0] < 0], minlength=len(texts)) > 0
+        many = np.maximum(lines[:, 2], 0)
+        before = np.concatenate(([0], np.cumsum(many)[:-1])) if len(many) else many
+        links = self.pairs[np.arange(int(many.sum())) + np.repeat(self.first[code] - before, many)]
+        owner = np.repeat(text_of, many)
+        order = np.lexsort((links, owner))
+        links, owner = links[order], owner[order]
+        heads = np.flatnonzero(np.concatenate(([True], (links[1:] != links[:-1]) | (owner[1:] != owner[:-1])))) if len(links) else np.zeros(0, np.int64)
+        times = np.diff(np.append(heads, len(links)))
+        bounds = np.searchsorted(owner[heads], np.arange(len(texts) + 1))
+        out: list[Aligned | None] = []
+        start = 0
+        for i, size in enumerate(sizes.tolist()):
+            mine = codes[start : start + size]
+            start += size
+            if not size or failed[i]:
+                out.append(self._whole(texts[i]) if size > 1 else None)  # the whole text decides, not its parts
+                continue
+            at = slice(bounds[i], bounds[i + 1])
+            out.append(Aligned(*sums[i].tolist(), ";".join([self.groups[c] for c in mine]), links[heads[at]], times[at]))
+        return out
+
+    def _whole(self, text: str) -> Aligned | None:
+        found = self.both.align(text)
+        if found is None:
+            return None
+        a, b, a_at, b_at = found
+        return Aligned(len(a), len(b), len(a_at), groups(self.both, *found), *np.unique(a[a_at] * SHIFT + b[b_at], return_counts=True))
 
 
 @lru_cache(maxsize=2)
-def _pair(a_path: str, b_path: str) -> Pair:
-    return Pair(a_path, b_path)
+def _texts(a_path: str, b_path: str) -> Texts:
+    return Texts(Pair(a_path, b_path))
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, keep: list[str]) -> DataFrame:
@@ -122,21 +258,21 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, keep: list[str]) -> DataF
     their ``times`` in the text. The files must be at their paths on every executor."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = _pair(a_path, b_path)
+        aligner = _texts(a_path, b_path)
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         for batch in batches:
-            rows = []
-            for text in batch.column("__text").to_pylist():
-                got = both.align(text)
-                if got is None:
-                    rows.append((0, 0, 0, 0, "", (), ()))
-                    continue
-                a, b, a_at, b_at = got
-                pairs, times = np.unique(a[a_at] * SHIFT + b[b_at], return_counts=True)
-                rows.append((len(a), len(b), len(a_at), len(a_at), group_digest(both, *got), pairs, times))
-            columns = list(zip(*rows)) if rows else [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds)]
-            yield pa.record_batch([*[batch.column(k) for k in keep], *arrays], names=[*keep, "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
+            texts = batch.column("__text").to_pylist()
+            for i, j in row_blocks(np.array([len(t or "") for t in texts]), BLOCK_CHARS):
+                rows = []
+                for got in aligner.align(texts[i:j]):
+                    if got is None:
+                        rows.append((0, 0, 0, 0, "", (), ()))
+                        continue
+                    digest = hashlib.sha256(got.groups.encode()).hexdigest()
+                    rows.append((got.n_a, got.n_b, got.n_groups, got.n_groups, digest, got.pairs, got.times))
+                arrays = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]
+                kept = [batch.column(k).slice(i, j - i) for k in keep]
+                yield pa.record_batch([*kept, *arrays], names=[*keep, "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 
     schema = docs.select(*keep).schema
     for name in ("n_a", "n_b", "n_groups", "n_links"):
