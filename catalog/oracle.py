@@ -342,6 +342,33 @@ def source_profile() -> str:
     )
 
 
+def first_splits(bins: int = 23) -> str:
+    """For each left-out fold the split of one feature that leaves the least squared error, and the means on its sides."""
+    values = " union all ".join(f"select {i} as place, '{f}' as feature, fold, y, cast({f} as double) as x from f" for i, f in enumerate(FEATURES))
+    return over_observations(
+        f"""{label_codes(CATEGORICAL)}, f as (
+          select {FOLD} as fold, monthly_sales as y, population_density, median_income, store_size, weekly_foot_traffic,
+          price, promotion_intensity, competitor_count, market_share, {CODE_COLUMNS}, {INTERACTIONS},
+          monthly_sales / store_size as sales_per_sqft from observations {CODE_JOINS} where {SPLIT}
+        ), u as ({values}),
+        ends as (select feature, min(x) as a, max(x) as b from u group by feature),
+        edges as (select feature, a + (b - a) * k / {bins} as edge from ends, range(1, {bins}) r(k)),
+        cut as (select place, feature, edge, fold, count(*) as n, sum(y) as s from u join edges using (feature) where x <= edge group by all),
+        total as (select fold, count(*) as n, sum(y) as s from f group by fold),
+        models as (select unnest([-1, 0, 1, 2, 3, 4]) as left_out),
+        whole as (select left_out, sum(n) as n, sum(s) as s from models, total where fold <> left_out group by left_out),
+        sides as (
+          select left_out, place, feature, edge, sum(cut.n) as n, sum(cut.s) as s, whole.n as wn, whole.s as ws
+          from whole join cut on fold <> left_out group by left_out, place, feature, edge, whole.n, whole.s
+        ), best as (
+          select *, row_number() over (partition by left_out order by s * s / n + (ws - s) * (ws - s) / (wn - n) desc, place, edge) as r
+          from sides where n < wn
+        )
+        select cast(left_out as integer) as left_out, feature, {steady_round("s / n", 4)} as left_mean,
+        {steady_round("(ws - s) / (wn - n)", 4)} as right_mean from best where r = 1"""
+    )
+
+
 def distinct_counts() -> str:
     """Distinct ids by region, market, month and over all lines."""
     levels = {"region": "region", "market": "market", "period": "year_month", "total": "cast(null as varchar)"}
@@ -600,6 +627,10 @@ def twins() -> dict[str, str]:
         "train_random_forest": held_out_rows(),
         "train_gradient_boosting": held_out_rows(),
         "cross_validation": f"select model, true as beats_mean, true as has_spread {MODELS}",
+        "boosted_first_split": first_splits(),
+        "shared_cross_validation": over_observations(
+            f"select {FOLD} as fold, count(*) as rows, true as beats_mean from observations where {SPLIT} group by 1"
+        ),
         "model_selection": f"select model, true as beats_mean, true as best_is_highest {MODELS}",
         "feature_importance": "select unnest(["
         + ", ".join(f"'{f}'" for f in FEATURES)

@@ -8,7 +8,7 @@ from functools import cache, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillframe.operators import cleaning, distincts, exploration, features, kpi, quality, regression, sales, scenarios, stored_model
+from tillframe.operators import cleaning, distincts, exploration, features, kpi, quality, regression, sales, scenarios, shared_boosting, stored_model
 from tillframe.operators.encoding import CATEGORICAL, fit_label_codes, label_encode
 from tillframe.plans import forecast_run, retail_run
 from tillframe.schema import HEADINGS
@@ -27,6 +27,7 @@ PRODUCT_COLUMNS = (*FORMULA_INPUTS, "obs_key", "region", "store_chain", "beverag
 FOREST = {"trees": 100, "depth": 5, "bins": 64}
 BOOSTING = {"stages": 100, "depth": 3, "bins": 64}
 QUERY_FOLDS = regression.FOLDS
+SPLIT_BINS = 23
 LOW_CAP = 1000
 
 
@@ -371,6 +372,22 @@ def cross_validation(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.select("model", (F.col("cv_mean") > 0).alias("beats_mean"), (F.col("cv_std") >= 0).alias("has_spread"))
 
 
+def boosted_first_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The first split of each fold's boosted model and the means on both sides: trained values that SQL can state."""
+    table = training_table(spark, folder)
+    edges = shared_boosting.equal_edges(table.train, len(table.features), SPLIT_BINS)
+    boosting = shared_boosting.boost(table, stages=1, depth=1, edges=edges, bins=SPLIT_BINS)
+    return steadied(shared_boosting.first_splits(boosting, table.features, spark), 4, "left_mean", "right_mean")
+
+
+def shared_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """All folds of the boosting in shared passes, with the library's full settings: rows of each fold, and what holds of R²."""
+    table = training_table(spark, folder)
+    boosting = shared_boosting.boost(table, BOOSTING["stages"], BOOSTING["depth"], bins=BOOSTING["bins"])
+    r2 = spark.createDataFrame(list(boosting.fold_r2.items()), "fold int, r2 double")
+    return table.train.groupBy("fold").agg(F.count("*").alias("rows")).join(r2, "fold").select("fold", "rows", (F.col("r2") > 0).alias("beats_mean"))
+
+
 def model_selection(spark: SparkSession, folder: str) -> DataFrame:
     """Whether each model beats the mean, and whether the chosen one is that with the highest R²."""
     metrics = forecast(spark, folder).metrics
@@ -531,6 +548,8 @@ def registry() -> dict[str, Query]:
         "train_random_forest": trained("random_forest"),
         "train_gradient_boosting": trained("gradient_boosting"),
         "cross_validation": cross_validation,
+        "boosted_first_split": boosted_first_split,
+        "shared_cross_validation": shared_cross_validation,
         "model_selection": model_selection,
         "feature_importance": feature_importance,
         "score_products": score_products,
