@@ -2,7 +2,7 @@
 
 *Terms* are runs of letters, their first 4 to 8 letters, and marks for terms that occur at least 2 or 4 times in a text.
 A bounded sample of the labelled rows says which terms depend on the label (a G test, at a threshold at which fewer
-than about one of the tried terms passes by chance); those make up the vector space. Document frequencies are counted
+than about one of the tried terms passes by chance) and by much (odds that double or halve); they make up the space. Document frequencies are counted
 over all documents.
 
 *Index.* Examples lie in blocks, similar ones together. For each term it holds the blocks where the term occurs, its
@@ -33,6 +33,8 @@ FIRST_WAVE = 4
 PREFIXES = range(4, 9)
 MARKS = (2, 4)
 LEAST_ROWS = 4
+LEAST_ODDS = 2.0
+TASK_ROWS = 8192
 NEAR = 0.01  # added to a distance, so that an equal text does not outvote all others
 SLACK = 1e-9
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -138,7 +140,7 @@ class BlockMaxIndex:
             sums = np.bincount(self.post_example[p], np.repeat(w, lengths) * self.post_weight[p], self.size)
             if skip >= 0:
                 sums[skip] = 0
-            hit = np.flatnonzero(sums > 0)
+            hit = np.flatnonzero(sums > (cosines[-1] - SLACK if len(best) == k else 0))
             best, cosines = np.concatenate((best, hit)), np.concatenate((cosines, np.minimum(sums[hit].round(12), 1)))
             top = np.lexsort((best, -cosines))[:k]
             best, cosines = best[top], cosines[top]
@@ -213,7 +215,8 @@ def choose_terms(examples: DataFrame, most: int) -> list[str]:
     """Terms of (text, label) rows that depend on the label, the strongest ``most`` at most, in order of strength.
 
     The G statistic of a term that does not depend on the label exceeds 2 ln(n) with a chance of under 1 in n; n is
-    the number of terms that occur in four rows at least, which alone are tried.
+    the number of terms that occur in four rows at least, which alone are tried. Of those that pass, the odds of label 1
+    must be at least doubled or halved, so that words of long texts in general stay out.
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +237,8 @@ def choose_terms(examples: DataFrame, most: int) -> list[str]:
     a, rows = F.col("t").cast("double"), F.col("n").cast("double")
     p = t / n
     g = 2 * (cell(a, p, rows) + cell(rows - a, 1 - p, rows) + cell(t - a, p, n - rows) + cell(n - rows - (t - a), 1 - p, n - rows))
-    strong = counts.withColumn("g", g).where(F.col("g") > 2 * log(max(tried, 2)))
+    odds = (a + 0.5) * (n - rows - (t - a) + 0.5) / ((rows - a + 0.5) * (t - a + 0.5))
+    strong = counts.withColumn("g", g).where(F.col("g") > 2 * log(max(tried, 2))).where(F.abs(F.log(odds)) >= log(LEAST_ODDS))
     return [r["term"] for r in strong.orderBy(F.desc("g"), "term").limit(most).select("term").collect()]
 
 
@@ -251,8 +255,8 @@ def sample_labels(labels: DataFrame, per_label: int) -> tuple[DataFrame, dict[in
     return clean.where(u < share), shares
 
 
-def fit(measured: DataFrame, examples: DataFrame, shares: dict[int, float], n_terms: int, k: int = 15) -> ToxicityModel:
-    """Learn from ``examples`` (doc_id, label, terms, times), which are bounded; ``measured`` is all documents' vectors."""
+def fit(measured: DataFrame, n: int, examples: DataFrame, shares: dict[int, float], n_terms: int, k: int = 15) -> ToxicityModel:
+    """Learn from ``examples`` (doc_id, label, terms, times), which are bounded; ``measured`` is all ``n`` documents' vectors."""
     rows = sorted(examples.collect(), key=lambda r: (-max(r["times"], default=0), r["terms"], r["doc_id"]))
     rows.sort(key=lambda r: r["terms"][:3])  # those that share their strongest terms lie side by side
     labels = np.array([r["label"] for r in rows], np.int64)
@@ -260,7 +264,6 @@ def fit(measured: DataFrame, examples: DataFrame, shares: dict[int, float], n_te
     prior = (float((labels * weights).sum()) + 1) / (float(weights.sum()) + 2)
     if not rows or labels.min() == labels.max():
         return ToxicityModel(prior)
-    n = measured.count()
     df = np.zeros(n_terms)
     for r in measured.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect():
         df[r["term"]] = r["n"]
@@ -325,6 +328,8 @@ def score_documents(
     examples = materialize(texts, "toxicity-examples")
     space = Space(choose_terms(examples, most_terms))
     measured = materialize(vectors(rows, space, ["doc_id", "held_out"]), "toxicity-vectors")
-    model = fit(measured, vectors(examples, space, ["doc_id", "label"]), shares, len(space.number), k)
-    found = score(measured, model, ["doc_id", "held_out"])
+    n = measured.count()
+    model = fit(measured, n, vectors(examples, space, ["doc_id", "label"]), shares, len(space.number), k)
+    spread = measured.repartition(max(1, -(-n // TASK_ROWS)))  # vectors are small, so a split holds very many
+    found = score(spread, model, ["doc_id", "held_out"])
     return found.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
