@@ -75,3 +75,77 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     assert qq.score_documents(no_docs, labels).count() == 0
     none = qq.score_documents(odd_docs, labels.limit(0)).collect()
     assert {r["score"] for r in none} == {0.5}
+
+
+def naive_language(rows, texts, marks_each, ridge):
+    """Scores of each language from the kernel itself: sets of grams, landmarks, whitening and ridge regression, one by one."""
+    grams = lambda t: set(np.flatnonzero(lk.presence([t])[0][0]).tolist())
+    kernel = lambda a, b: len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1))
+    langs = sorted({lang for lang, _, _ in rows})
+    marks = [grams(t) for lang in langs for _, t, u in sorted((r for r in rows if r[0] == lang), key=lambda r: r[2])[:marks_each]]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    solid = values > 1e-6 * values.max()
+    whiten = vectors[:, solid] / np.sqrt(values[solid])
+    point = lambda t: np.append(np.array([kernel(grams(t), m) for m in marks]) @ whiten, 1)
+    x = np.array([point(t) for _, t, _ in rows])
+    y = np.array([[1.0 if lang == other else -1.0 for other in langs] for lang, _, _ in rows])
+    beta = np.linalg.solve(x.T @ x + ridge * len(rows) * np.eye(x.shape[1]), x.T @ y)
+    return langs, np.array([point(t) @ beta for t in texts])
+
+
+def test_language_scores_equal_the_kernel(spark):
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect() if r["lang"] and r["text"] and len(r["text"]) < 4000]
+    rows = [(r["lang"], r["text"], (i * 0.618) % 1) for i, r in enumerate(docs[:60])]
+    texts = [r["text"] for r in docs[60:90]]
+    n_langs = len({lang for lang, _, _ in rows})
+    frame = spark.createDataFrame(rows, "lang string, text string, u double")
+    model = lk.fit(frame, sample_per_lang=10_000, landmarks=5 * n_langs, ridge=1e-2)
+    langs, values = naive_language(rows, texts, 5, 1e-2)
+    found, scores = lk.predict(texts, model)
+    assert found == [langs[i] for i in values.argmax(axis=1)]
+    assert np.allclose(scores, np.clip((1 + values.max(axis=1)) / 2, 0, 1), atol=1e-3)
+
+
+def naive_statistics(text):
+    def kind(c):
+        return "letter" if c.isalpha() else "digit" if c.isdecimal() else "space" if c.isspace() else "symbol"
+
+    def share(part, whole):
+        return np.arcsin(np.sqrt(min(part / max(whole, 1), 1)))
+
+    kinds = [kind(c) for c in text]
+    words = "".join(" " if k == "space" else c for c, k in zip(text, kinds)).split(" ")
+    words = [w for w in words if w]
+    lines = [x for x in text.split("\n") if x]
+    sizes = [len(w) for w in words]
+    runs, longest = 0, 0
+    for i, w in enumerate(words):
+        runs = runs + 1 if i and w == words[i - 1] else 1
+        longest = max(longest, runs)
+    again = sum(i > 0 and w == words[i - 1] for i, w in enumerate(words))
+    return [
+        np.log1p(len(text)), np.log1p(len(words)), np.log1p(np.mean(sizes) if sizes else 0), np.log1p(np.std(sizes) if sizes else 0),
+        share(sum(c.isalpha() and c.isupper() for c in text), kinds.count("letter")), share(kinds.count("digit"), len(text)),
+        share(kinds.count("symbol"), len(text)), share(kinds.count("space"), len(text)),
+        share(sum(not any(c.isalpha() for c in w) for w in words), len(words)),
+        share(sum(kind(w[-1]) == "symbol" and w[-1] not in ".,;:?" for w in words), len(words)), share(len(set(words)), len(words)),
+        share(again, len(words)), np.log1p(len(words) / max(len(lines), 1)), share(len(lines) - len(set(lines)), len(lines)),
+        share(sum(w[0].isupper() for w in words), len(words)), np.log1p(longest),
+    ]
+
+
+def test_statistics_equal_a_walk_through_the_text(odd_docs):
+    texts = [r["text"] or "" for r in odd_docs.collect()] + ["a a a b\nA!\nA!\n\n1 2 2 x? y%", "Zeile eins\nZeile eins\n", "one  two\tTHREE;", "½ ² \x1c x"]
+    found = qq.statistics(texts)
+    assert np.allclose(found, [naive_statistics(t) for t in texts])
+    assert np.allclose(found[[0, 4]], qq.statistics([texts[0], texts[4]]))
+
+
+def test_class_sums_do_not_depend_on_the_tasks(spark):
+    rng = np.random.default_rng(0)
+    rows = [(int(i % 3 == 0), (rng.normal(size=16) + (i % 3 == 0)).tolist()) for i in range(300)] + [(None, [0.0] * 16), (7, [0.0] * 16)]
+    frame = spark.createDataFrame(rows, "label int, x array<double>")
+    one, many = (qq.fit(frame.repartition(n)) for n in (1, 40))
+    assert one.prior == many.prior and np.allclose(one.means, many.means) and np.allclose(one.whiten, many.whiten)
+    x = np.array([v for k, v in rows if k == 1])
+    assert np.allclose(many.means[1], x.mean(axis=0))

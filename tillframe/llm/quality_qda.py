@@ -20,6 +20,7 @@ from tillframe.llm.language_kernel import held_out
 from tillframe.session import materialize
 
 BLOCK_CHARS = 1_000_000
+ADDERS = 16
 FEATURES = (
     "chars", "words", "word_length", "word_spread", "upper", "digit", "symbol", "space", "unlettered", "symbol_end",
     "distinct", "repeated", "line_words", "lines_repeated", "capital_start", "longest_run",
@@ -111,25 +112,46 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def fit(rows: DataFrame, shrink: float = 0.1, floor: float = 1e-3) -> QualityModel:
-    """Learn from a DataFrame (label int, x array<double>), of which the class sums are gathered: two small rows a task."""
+    """Learn from a DataFrame (label int, x array<double>), by sums over each class.
+
+    Tasks add up their own rows, a few further tasks add up those sums as they come in, and the driver gets two small
+    rows of each of these, whatever the number of rows and tasks.
+    """
     size = len(FEATURES)
 
+    def batch_of(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for label, (n, s, ss) in held.items():
+            yield pa.record_batch([pa.array([label]), pa.array([n]), pa.array([s.tobytes()]), pa.array([ss.tobytes()])], names=["label", "n", "s", "ss"])
+
+    def none() -> list:
+        return [0, np.zeros(size), np.zeros((size, size))]
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
             labels = batch.column("label").to_numpy(zero_copy_only=False)
             x = np.asarray(batch.column("x").flatten()).reshape(-1, size)
             for label in np.unique(labels):
-                part, old = x[labels == label], held.setdefault(int(label), [0, np.zeros(size), np.zeros((size, size))])
+                part, old = x[labels == label], held.setdefault(int(label), none())
                 old[0] += len(part)
                 old[1] += part.sum(axis=0)
                 old[2] += part.T @ part
-        for label, (n, s, ss) in held.items():
-            yield pa.record_batch([pa.array([label]), pa.array([n]), pa.array([s.tobytes()]), pa.array([ss.tobytes()])], names=["label", "n", "s", "ss"])
+        yield from batch_of(held)
 
-    clean = rows.where("label in (0, 1)")
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for label, n, s, ss in zip(*(batch.column(c).to_pylist() for c in ("label", "n", "s", "ss"))):
+                old = held.setdefault(label, none())
+                old[0] += n
+                old[1] += np.frombuffer(s)
+                old[2] += np.frombuffer(ss).reshape(size, size)
+        yield from batch_of(held)
+
+    clean, schema = rows.where("label in (0, 1)"), "label long, n long, s binary, ss binary"
+    parts = clean.mapInArrow(sums, schema).withColumn("adder", F.pmod(F.spark_partition_id(), F.lit(ADDERS))).repartition(ADDERS, "adder")
     n, s, ss = [0, 0], [np.zeros(size), np.zeros(size)], [np.zeros((size, size)), np.zeros((size, size))]
-    for r in clean.mapInArrow(sums, "label long, n long, s binary, ss binary").toLocalIterator():
+    for r in parts.drop("adder").mapInArrow(added, schema).collect():
         n[r["label"]] += r["n"]
         s[r["label"]] += np.frombuffer(r["s"])
         ss[r["label"]] += np.frombuffer(r["ss"]).reshape(size, size)
