@@ -26,7 +26,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
         elif name == "simhash_near_dedup":
             assert set(new) == {i for i, _, c in brute_groups([(i, r["text"]) for i, r in old.items()]) if i == c}
         elif name == "suffix_array_dedup":
-            kept = brute_kept([r["text"].encode() for r in old.values()])
+            kept = brute_kept([r["text"].encode() for r in old.values()], cp.PASSAGE_BYTES)
             assert {i: r["text"] for i, r in new.items()} == {i: k[3].decode("utf-8", "ignore") for i, k in zip(old, kept)}
             assert all(r["n_chars"] == len(r["text"]) for r in new.values() if r["text"] != old[r["doc_id"]]["text"])
         elif name == "benchmark_decontamination":
