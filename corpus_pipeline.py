@@ -14,6 +14,7 @@ from tillframe.llm.queries import tokenizer_path
 from tillframe.session import work_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+PASSAGE_BYTES = 200  # of a repeated passage that goes: over 50 words of the prose have more
 LEAST_LANGUAGE_SCORE = 0.2  # below, the best classifier's output is under -0.6 between -1 and 1
 
 
@@ -39,7 +40,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without their repeated passages; a character that a cut has broken goes with it."""
-    found = substring_dedup.remove_repeats(docs, COLUMNS, as_text=True)
+    found = substring_dedup.remove_repeats(docs, COLUMNS, as_text=True, length=PASSAGE_BYTES)
     whole = F.col("n_removed") == 0
     chars = F.when(whole, F.col("n_chars")).otherwise(F.length("kept").cast("long"))
     return found.select("doc_id", F.when(whole, F.col("text")).otherwise(F.col("kept")).alias("text"), "lang", "source", chars.alias("n_chars"))
