@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tillframe import session
 from tillframe.operators import distincts
 from tillframe.sinks import commit, writers
 
@@ -49,6 +50,21 @@ def test_a_replacement_that_cannot_be_renamed(spark, tmp_path):
     assert spark.read.parquet(path).count() == 10 and names(tmp_path) == ["out"]
 
 
+def test_working_tables_go_at_the_end(spark, tmp_path):
+    before = session.materialize(spark.range(3), "stays")
+    with session.working_tables(spark):
+        table = session.materialize(spark.range(5), "goes")
+        with session.working_tables(spark):
+            inner = session.materialize(spark.range(2), "goes-too")
+        assert not os.path.exists(inner.inputFiles()[0].removeprefix("file://"))
+        files = [f.removeprefix("file://") for f in table.inputFiles()]
+        table.write.parquet(str(tmp_path / "result"))
+    assert not any(map(os.path.exists, files)) and before.count() == 3
+    assert spark.read.parquet(str(tmp_path / "result")).count() == 5
+    after = session.materialize(spark.range(4), "stays")
+    assert after.count() == 4
+
+
 def test_one_file_in_order_from_parallel_parts(spark, tmp_path):
     rows = [(i, f'a,"{i}"\nb' if i % 3 else None) for i in range(1000)]
     frame = spark.createDataFrame(rows, "id long, `the text` string").repartitionByRange(6, "id").sortWithinPartitions("id")

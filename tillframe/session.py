@@ -6,6 +6,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,9 +61,36 @@ def _checkpoint_folder(spark: SparkSession) -> str | None:
     return spark.sparkContext.getCheckpointDir()
 
 
+_working: ContextVar[list[str] | None] = ContextVar("working", default=None)
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/tillframe/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, which goes at the end of ``working_tables`` if called within."""
+    path = f"{shared_folder(spark)}/tillframe/{label}-{uuid.uuid4().hex}"
+    noted = _working.get()
+    if noted is not None:
+        noted.append(path)
+    return path
+
+
+@contextmanager
+def working_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end of the block, the tables that were written to fresh paths within it by this thread.
+
+    For steps whose results are written elsewhere before the block ends: a frame that reads one of the tables is of no
+    use afterwards.
+    """
+    token = _working.set([])
+    try:
+        yield
+    finally:
+        noted = _working.get()
+        _working.reset(token)
+        for path in noted:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+            if fs.exists(place):
+                fs.delete(place, True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
