@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillframe.llm import bpe, language_kernel, simhash_index, string_tiling, substring_dedup
 from tillframe.llm.queries import tokenizer_path
-from tillframe.session import work_path
+from tillframe.session import work_path, working_tables
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 PASSAGE_BYTES = 200  # of a repeated passage that goes: over 50 words of the prose have more
@@ -73,10 +73,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written to the shared folder and read again."""
+    """Apply the stages to ``documents``; each result is written to the shared folder and read again.
+
+    The tables that a stage works with go once its result is written; the results stay.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = work_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with working_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
