@@ -342,15 +342,24 @@ def source_profile() -> str:
     )
 
 
+TRAINING = f"""f as (
+          select obs_key, {FOLD} as fold, monthly_sales as y, population_density, median_income, store_size, weekly_foot_traffic,
+          price, promotion_intensity, competitor_count, market_share, {CODE_COLUMNS}, {INTERACTIONS},
+          monthly_sales / store_size as sales_per_sqft from observations {CODE_JOINS} where {SPLIT}
+        )"""
+
+
+def deep_tree() -> str:
+    """The mean sales of the training rows that have the same features, for almost every row its own."""
+    mean = steady_round(f"avg(y) over (partition by {', '.join(FEATURES)})", 4)
+    return over_observations(f"{label_codes(CATEGORICAL)}, {TRAINING} select obs_key, {mean} as prediction from f")
+
+
 def first_splits(bins: int = 23) -> str:
     """For each left-out fold the split of one feature that leaves the least squared error, and the means on its sides."""
     values = " union all ".join(f"select {i} as place, '{f}' as feature, fold, y, cast({f} as double) as x from f" for i, f in enumerate(FEATURES))
     return over_observations(
-        f"""{label_codes(CATEGORICAL)}, f as (
-          select {FOLD} as fold, monthly_sales as y, population_density, median_income, store_size, weekly_foot_traffic,
-          price, promotion_intensity, competitor_count, market_share, {CODE_COLUMNS}, {INTERACTIONS},
-          monthly_sales / store_size as sales_per_sqft from observations {CODE_JOINS} where {SPLIT}
-        ), u as ({values}),
+        f"""{label_codes(CATEGORICAL)}, {TRAINING}, u as ({values}),
         ends as (select feature, min(x) as a, max(x) as b from u group by feature),
         edges as (select feature, a + (b - a) * k / {bins} as edge from ends, range(1, {bins}) r(k)),
         cut as (select place, feature, edge, fold, count(*) as n, sum(y) as s from u join edges using (feature) where x <= edge group by all),
@@ -628,6 +637,7 @@ def twins() -> dict[str, str]:
         "train_gradient_boosting": held_out_rows(),
         "cross_validation": f"select model, true as beats_mean, true as has_spread {MODELS}",
         "boosted_first_split": first_splits(),
+        "deep_tree": deep_tree(),
         "shared_cross_validation": over_observations(
             f"select {FOLD} as fold, count(*) as rows, true as beats_mean from observations where {SPLIT} group by 1"
         ),

@@ -8,7 +8,7 @@ from functools import cache, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillframe.operators import cleaning, distincts, exploration, features, kpi, quality, regression, sales, scenarios, shared_boosting, stored_model
+from tillframe.operators import cleaning, deep_trees, distincts, exploration, features, kpi, quality, regression, sales, scenarios, shared_boosting, stored_model
 from tillframe.operators.encoding import CATEGORICAL, fit_label_codes, label_encode
 from tillframe.plans import forecast_run, retail_run
 from tillframe.schema import HEADINGS
@@ -28,6 +28,7 @@ FOREST = {"trees": 100, "depth": 5, "bins": 64}
 BOOSTING = {"stages": 100, "depth": 3, "bins": 64}
 QUERY_FOLDS = regression.FOLDS
 SPLIT_BINS = 23
+DEEP_ROWS = 20_000
 LOW_CAP = 1000
 
 
@@ -380,6 +381,13 @@ def boosted_first_split(spark: SparkSession, folder: str) -> DataFrame:
     return steadied(shared_boosting.first_splits(boosting, table.features, spark), 4, "left_mean", "right_mean")
 
 
+def deep_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """One tree without a depth bound gives every training row its own sales, or the mean of rows with equal features."""
+    train = training_table(spark, folder).train
+    forest = deep_trees.fit_deep(train, trees=1, leaf_rows=DEEP_ROWS, depth=4)
+    return steadied(deep_trees.predict_deep(forest, train, ["obs_key"], DEEP_ROWS), 4, "prediction")
+
+
 def shared_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
     """All folds of the boosting in shared passes, with the library's full settings: rows of each fold, and what holds of R²."""
     table = training_table(spark, folder)
@@ -549,6 +557,7 @@ def registry() -> dict[str, Query]:
         "train_gradient_boosting": trained("gradient_boosting"),
         "cross_validation": cross_validation,
         "boosted_first_split": boosted_first_split,
+        "deep_tree": deep_tree,
         "shared_cross_validation": shared_cross_validation,
         "model_selection": model_selection,
         "feature_importance": feature_importance,
