@@ -184,3 +184,38 @@ def test_written_shards(spark, odd_docs, tmp_path):
     back = spark.read.parquet(str(tmp_path / "shards"))
     assert back.count() == rows.count()
     assert {c[0] for c in back.dtypes} == {*rows.columns, "shard", "slot"}
+
+
+def test_columns_named_like_outputs_give_way(spark):
+    """One row each, with every value asserted; the clashing columns hold other values."""
+    from tokenizers import Tokenizer
+
+    from tillframe.llm import bpe, language_kernel, quality_qda
+
+    text = "the quiet river bends"
+    rows = [(1, text, "en"), (2, None, "en"), (3, "", "en"), (4, text * 60_000, "en")]  # the last is longer than any block
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    odd = ("lang_pred", "score", "x", "n_tokens", "ids_sha256", "licences", "n_sentences")
+    clash = frame.withColumns({c: F.lit("clash") for c in odd})
+    keep = ["doc_id", *odd]
+
+    model = language_kernel.train_on_documents(frame)
+    found = language_kernel.identify(clash, model, keep)
+    assert found.columns == ["doc_id", *odd[2:], "lang_pred", "score"]
+    assert {r["doc_id"]: r["lang_pred"] for r in found.collect()} == {1: "en", 2: "und", 3: "und", 4: "en"}
+
+    measured = quality_qda.measure(clash, keep)
+    assert measured.columns == ["doc_id", *[c for c in odd if c != "x"], "x"]
+    sizes = {r["doc_id"]: round(math.expm1(r["x"][0])) for r in measured.collect()}
+    assert sizes == {1: 21, 2: 0, 3: 0, 4: 21 * 60_000}
+    scored = quality_qda.score(measured, quality_qda.QualityModel(0.25), ["doc_id", "score"])
+    assert scored.columns == ["doc_id", "score"] and {r["score"] for r in scored.collect()} == {0.25}
+
+    encoded = bpe.encode_documents(clash.where("doc_id < 4"), queries.tokenizer_path(), keep)
+    assert encoded.columns == ["doc_id", "lang_pred", "score", "x", "licences", "n_sentences", "n_tokens", "ids_sha256", "decoded_sha256"]
+    library = Tokenizer.from_file(queries.tokenizer_path()).encode(text, add_special_tokens=False)
+    assert {r["doc_id"]: r["n_tokens"] for r in encoded.collect()} == {1: len(library.ids), 2: 0, 3: 0}
+
+    scanned = licences.scan(clash, keep)
+    assert scanned.columns == ["doc_id", "lang_pred", "score", "x", "n_tokens", "ids_sha256", "licences", "kinds", "n_sentences", "sentence_ids"]
+    assert {(r["licences"], r["n_sentences"]) for r in scanned.collect()} == {("", 0)}

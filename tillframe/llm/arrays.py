@@ -94,6 +94,11 @@ def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def others(keep: list[str], *output: str) -> list[str]:
+    """The columns to keep that are not named like an output: an input column gives way to it."""
+    return [k for k in keep if k not in output]
+
+
 def word_spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))

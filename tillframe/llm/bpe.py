@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tillframe.llm.arrays import others
+
 CACHED = 300_000  # words that a task remembers
 NEVER = np.int64(1 << 40)
 _NO_MERGE = (1 << 40, -1)
@@ -280,8 +282,10 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str], with_ids: bool
     """Columns ``keep`` of each row with n_tokens, ids_sha256 and decoded_sha256 (and token_ids) of its whole text.
 
     ``path`` is the tokenizer file, read where the query is made and sent to the tasks: a vocabulary, the same at any
-    size of input. Null and empty texts have no tokens.
+    size of input. Null and empty texts have no tokens. A kept column named like an output gives way to it. An empty
+    table gives an empty result.
     """
+    keep = others(keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids"] if with_ids else []))
     spark: SparkSession = docs.sparkSession
     with open(path, encoding="utf-8") as file:
         held = spark.sparkContext.broadcast(load(file.read()))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillframe.llm.arrays import code_points, letter_table, mixed, row_blocks
+from tillframe.llm.arrays import code_points, letter_table, mixed, others, row_blocks
 from tillframe.session import materialize
 
 BITS = 16
@@ -145,7 +145,11 @@ def predict(texts: list[str | None], model: LanguageModel | None) -> tuple[list[
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` of each row with lang_pred and score; whole texts, null and empty ones included."""
+    """Columns ``keep`` of each row with lang_pred and score; whole texts, null and empty ones included.
+
+    A kept column named like an output gives way to it. An empty table gives an empty result.
+    """
+    keep = others(keep, "lang_pred", "score")
     held = docs.sparkSession.sparkContext.broadcast(model)
     fields = docs.select(*keep).schema
 

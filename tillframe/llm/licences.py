@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tillframe.llm.arrays import others
+
 # Sentences of published licences and notices, with identifiers.
 SENTENCES = {
     1: "Released under the MIT License",
@@ -101,8 +103,10 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep`` of each row with licences and kinds (in order, comma-joined), n_sentences and sentence_ids.
 
     n_sentences counts the known sentences, sentence_ids lists them, as the lines have them; licences come from lines
-    or flowing text. A null or empty text has none, and empty strings.
+    or flowing text. A null or empty text has none, and empty strings. A kept column named like an output gives way to
+    it. An empty table gives an empty result.
     """
+    keep = others(keep, "licences", "kinds", "n_sentences", "sentence_ids")
     table = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tillframe.llm.arrays import code_points, letter_table, row_blocks, span_hashes, word_spans
+from tillframe.llm.arrays import code_points, letter_table, others, row_blocks, span_hashes, word_spans
 from tillframe.llm.language_kernel import held_out
 from tillframe.session import materialize
 
@@ -96,7 +96,11 @@ def statistics(texts: list[str]) -> np.ndarray:
 
 
 def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` and ``x``, the statistics of each whole text (null counts as empty)."""
+    """Columns ``keep`` and ``x``, the statistics of each whole text (null counts as empty).
+
+    A kept column named x gives way to it. An empty table gives an empty result.
+    """
+    keep = others(keep, "x")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +188,8 @@ def score_vectors(x: np.ndarray, model: QualityModel) -> np.ndarray:
 
 
 def score(measured: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` and score (0 to 1) of a DataFrame that has ``x``."""
+    """Columns ``keep`` and score (0 to 1) of a DataFrame that has ``x``; a kept column named score gives way to it."""
+    keep = others(keep, "score")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
