@@ -14,7 +14,7 @@ from tillframe.llm.queries import tokenizer_path
 from tillframe.session import work_path, working_tables
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-PASSAGE_BYTES = 200  # of a repeated passage that goes: over 50 words of the prose have more
+PASSAGE_BYTES = 250  # of a repeated passage that goes: those of over 50 words of the given prose have 260 at least
 LEAST_LANGUAGE_SCORE = 0.2  # below, the best classifier's output is under -0.6 between -1 and 1
 
 
