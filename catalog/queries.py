@@ -249,7 +249,7 @@ def distinct_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Exact distinct counts at every level, and whether the rolled-up sketches are within their bound of them."""
     lines = materialize(cleaned(spark, folder, *distincts.MEASURED, "region", "market", "order_date"), "distinct-lines")
     counted = distincts.distinct_counts(lines.select(*distincts.BASE, *distincts.MEASURED))
-    within = F.abs(F.col("estimate") - F.col("exact")) <= F.ceil(F.col("exact") * distincts.error_bound())
+    within = F.abs(F.col("estimate") - F.col("exact")) <= F.ceil(F.col("exact") * distincts.error_bound(deviations=4))
     return counted.select("level", "name", "measure", "exact", within.alias("within_bound"))
 
 
