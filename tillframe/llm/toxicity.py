@@ -264,9 +264,7 @@ def fit(measured: DataFrame, n: int, examples: DataFrame, shares: dict[int, floa
     prior = (float((labels * weights).sum()) + 1) / (float(weights.sum()) + 2)
     if not rows or labels.min() == labels.max():
         return ToxicityModel(prior)
-    df = np.zeros(n_terms)
-    for r in measured.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect():
-        df[r["term"]] = r["n"]
+    df = document_frequencies(measured, n_terms)
     idf = np.log((1 + n) / (1 + df)) + 1
     pairs = [(np.array(r["terms"], np.int64), np.array(r["times"], np.float64)) for r in rows]
     index = BlockMaxIndex([(t, unit(t, c, idf)) for t, c in pairs], n_terms)
@@ -290,6 +288,22 @@ def fit(measured: DataFrame, n: int, examples: DataFrame, shares: dict[int, floa
     return ToxicityModel(prior, idf, index, ids, labels, weights, k, *curve, alone)
 
 
+def document_frequencies(measured: DataFrame, n_terms: int) -> np.ndarray:
+    """In how many rows each term occurs. Tasks count their own rows and give a row for each term they have seen."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            own += np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=n_terms)
+        seen = np.flatnonzero(own)
+        yield pa.record_batch([pa.array(seen, pa.int32()), pa.array(own[seen])], names=["term", "n"])
+
+    df = np.zeros(n_terms)
+    for r in measured.select("terms").mapInArrow(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        df[r["term"]] = r["n"]
+    return df
+
+
 def score(measured: DataFrame, model: ToxicityModel, keep: list[str], shown: int = 5) -> DataFrame:
     """Columns ``keep``, score and evidence: the nearest ``shown`` examples with their cosine and label."""
     held = measured.sparkSession.sparkContext.broadcast(model)
