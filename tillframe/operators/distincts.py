@@ -20,6 +20,7 @@ MEASURED = ("customer_id", "order_id", "product_id")
 # The reports: by region, by market, by period, and over all lines.
 LEVELS = {"region": ("region",), "market": ("market",), "period": ("year_month",), "total": ()}
 LG_K = 14
+_LOW_BITS, _LOW = 31, (1 << 31) - 1
 
 
 def error_bound(lg_k: int = LG_K, deviations: float = 3.0) -> float:
@@ -46,19 +47,27 @@ def sketched_counts(states: DataFrame, levels: dict[str, tuple[str, ...]] = LEVE
 def bitmap_blocks(lines: DataFrame, base: tuple[str, ...] = BASE, measured: tuple[str, ...] = MEASURED) -> DataFrame:
     """measure, base group, block and bits: which values of each measured column a base group has.
 
-    Values get dense numbers (the codes of ``encoding``); a block is the bitmap of 32,768 of them, and only blocks with
-    a bit set exist. Repeated values go within the tasks, before the shuffle. ``lines`` is read twice a column: pass a
-    written table where joins stand behind it.
+    Values get dense numbers (the codes of ``encoding``), base groups too; a block is the bitmap of 32,768 values, and
+    only blocks with a bit set exist. Repeated values go within the tasks, before the shuffle. What is left, a number
+    each, is brought together by group and block before a bitmap is made: a task's own bitmaps would be 4 kB each for
+    hardly more than one value, once the blocks are many. ``lines`` is read twice a column and once for the groups: pass
+    a written table where joins stand behind it.
     """
     codes = fit_label_codes(lines, measured)
+    groups = fit_label_codes(lines.select(F.struct(*base).alias("group")), ("group",)).tables["group"].toDF("group", "group_code")
+    # Both numbers of a value in one long: equal rows and sorted keys are compared at once.
+    high, low = F.col("group_code").cast("long"), F.col("code").cast("long")
+    code, group = F.col("both").bitwiseAND(_LOW), F.shiftright("both", _LOW_BITS)
 
     def of(column: str) -> DataFrame:
         numbers = codes.tables[column].where("label is not null")
-        coded = lines.select(*base, F.col(column).alias("label")).join(numbers, "label").select(*base, F.col("code").cast("long").alias("code"))
-        # Merging of equal rows within a task hashes; a bitmap as a running state would sort all lines.
-        single = coded.withColumn("block", F.bitmap_bucket_number("code")).distinct()
-        bits = F.bitmap_construct_agg(F.bitmap_bit_position("code")).alias("bits")
-        return single.groupBy(*base, "block").agg(bits).select(F.lit(column).alias("measure"), *base, "block", "bits")
+        grouped = lines.select(F.struct(*base).alias("group"), F.col(column).alias("label")).join(groups, "group")
+        single = grouped.join(numbers, "label").select(F.shiftleft(high, _LOW_BITS).bitwiseOR(low).alias("both")).distinct()
+        key = F.shiftleft(group, _LOW_BITS).bitwiseOR(F.bitmap_bucket_number(code)).alias("key")
+        placed = single.select(key, F.bitmap_bit_position(code).alias("position")).repartition("key")
+        blocks = placed.groupBy("key").agg(F.bitmap_construct_agg("position").alias("bits"))
+        numbered = blocks.select(F.shiftright("key", _LOW_BITS).cast("int").alias("group_code"), F.col("key").bitwiseAND(_LOW).alias("block"), "bits")
+        return numbered.join(groups, "group_code").select(F.lit(column).alias("measure"), *[F.col("group")[c].alias(c) for c in base], "block", "bits")
 
     return reduce(DataFrame.unionByName, [of(c) for c in measured])
 
