@@ -1,0 +1,44 @@
+import numpy as np
+import pytest
+
+from catalog import queries
+from tillframe.operators import shared_boosting as sb, shared_forest as sf
+
+
+@pytest.mark.parametrize("nodes", [1, 4])
+def test_joint_sums_are_those_of_each_feature(nodes):
+    draw = np.random.default_rng(3)
+    sizes, rows, bins = [25, 64, 1, 64, 11, 3, 7], 5000, 64
+    columns = np.stack([draw.integers(0, s, rows) for s in sizes]).astype(np.intp)
+    at = np.flatnonzero(draw.random(rows) < 0.6)
+    node, counts = draw.integers(0, nodes, len(at)), draw.integers(1, 5, len(at)).astype(float)
+    values = counts * draw.random(len(at))
+    wanted, found = (np.zeros((2, nodes, len(sizes), bins)) for _ in range(2))
+    sb.add_to(wanted, columns, node, at, values, counts)
+    groups = sf.joint_groups(sizes)
+    cells = [np.ravel_multi_index([columns[f] for f in g], [sizes[f] for f in g]) for g in groups]
+    sf.add_jointly(found, groups, sizes, cells, node, at, (values, counts))
+    assert np.allclose(found, wanted, rtol=1e-12) and (found[1] == wanted[1]).all()
+
+
+def test_a_row_is_added_once_a_group():
+    """Sixteen features were sixteen additions a row and tree."""
+    sizes = [25, 64, 64, 64, 64, 11, 7, 9, 5, 5, 6, 3, 64, 64, 64, 64]
+    groups = sf.joint_groups(sizes)
+    assert len(groups) <= 6 and sorted(f for g in groups for f in g) == list(range(len(sizes)))
+    assert all(np.prod([sizes[f] for f in g]) <= sf.JOINT_CELLS for g in groups)
+    assert sf.joint_groups([200, 3], 64) == [[0], [1]]
+
+
+def test_draws_of_four_trees_are_those_of_each():
+    hashes = np.random.default_rng(5).integers(-(1 << 62), 1 << 62, 1000)
+    table = sf.poisson_table()
+    for tree in range(9):
+        assert (sf.times_in_tree(hashes, tree, table, sf.mixed(hashes, tree // 4)) == sf.times_in_tree(hashes, tree, table)).all()
+
+
+@pytest.mark.parametrize("name", ["score_products", "scenario_scores"])
+def test_products_are_scored(spark, folder, name):
+    """The plan held a constant in place of the trees, as annual sales are twelve times anything."""
+    plan = queries.registry()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF(features" in plan and "true AS annual_is_twelvefold" not in plan
